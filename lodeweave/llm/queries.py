@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding
+from . import quality_rules, sharding, simhash
 
 QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLES = {
