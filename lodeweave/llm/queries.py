@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding, simhash
+from . import media, packing, quality_rules, sharding, simhash
 
 QUERIES = {
     "op5_sharding": sharding.op5_sharding,
+    "op6_packing": packing.op6_packing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_simhash": simhash.op9_simhash,
+    "op10_media": media.op10_media,
 }
 
 ORACLES = {
