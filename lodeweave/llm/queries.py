@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import media, packing, quality_rules, sharding, simhash
+from . import language_model, media, packing, quality_rules, sharding, simhash
 
 QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op6_packing": packing.op6_packing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_language_model": language_model.op8_language_model,
     "op9_simhash": simhash.op9_simhash,
     "op10_media": media.op10_media,
 }
