@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language_model, media, packing, quality_rules, sharding, simhash
+from . import language_model, media, mixing, packing, quality_rules, sharding, simhash
 
 QUERIES = {
+    "op4_mixing": mixing.op4_mixing,
     "op5_sharding": sharding.op5_sharding,
     "op6_packing": packing.op6_packing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_mixing": mixing.ORACLE,
     "op5_sharding": sharding.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
 }
