@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language_model, media, mixing, packing, quality_rules, sharding, simhash
+from . import html_text, language_model, media, mixing, packing, quality_rules, sharding, simhash
 
 QUERIES = {
+    "op1_html_extraction": html_text.op1_html_extraction,
     "op4_mixing": mixing.op4_mixing,
     "op5_sharding": sharding.op5_sharding,
     "op6_packing": packing.op6_packing,
