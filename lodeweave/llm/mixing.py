@@ -161,3 +161,16 @@ WITH d AS (
 SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(0, CAST(taken AS BIGINT))) AS INTEGER) AS epoch FROM t WHERE taken > 0
 """
 )
+
+
+def mix_documents(docs: DataFrame, parts: tuple[int, int], max_epochs: int = 2, seed: int = 17) -> DataFrame:
+    """The rows of a table like `documents` that mix() takes, with their columns, each as often as it is taken.
+
+    Rows that repeat a doc_id in a leaf stand or fall together. Null ids and null levels are kept as values of their own.
+    """
+    taken = mix(leaf_rows(docs), LEVELS, WEIGHTS, parts, max_epochs, seed).select(F.col("rid").alias("_rid"), *[F.col(c).alias(f"_{c}") for c in LEVELS])
+    level = {"domain": domain_of(docs["source"]), "lang": F.coalesce(docs["lang"], F.lit("")), "source": F.coalesce(docs["source"], F.lit(""))}
+    same = docs["doc_id"].eqNullSafe(taken["_rid"])
+    for c in LEVELS:
+        same = same & (level[c] == taken[f"_{c}"])
+    return docs.join(taken, same).select(*[docs[c] for c in docs.columns])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import html_text, language_model, media, mixing, packing, quality_rules, sharding, simhash, toxicity
+from . import html_text, language_model, media, mixing, packing, quality_rules, secrets, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_html_extraction": html_text.op1_html_extraction,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_secrets": secrets.op3_secrets,
     "op4_mixing": mixing.op4_mixing,
     "op5_sharding": sharding.op5_sharding,
     "op6_packing": packing.op6_packing,
