@@ -134,7 +134,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 1024, lookahe
             yield pa.RecordBatch.from_arrays([*own, pa.array([(task << 40) + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], [*names, "sequence_id", "offset"])
 
     dealt = pieces.select(*names, F.pmod(F.xxhash64(F.lit(11), "rid", "piece"), F.lit(n)).cast("int").alias("task"))
-    ranged = dealt.repartitionByRange(n, "task").sortWithinPartitions("task", F.xxhash64("rid", "piece"), "rid", "piece", "start", "length")
+    # by hash, not by range: the sampling of a range exchange would tokenize everything once more
+    ranged = dealt.repartition(n, "task").sortWithinPartitions("task", F.xxhash64("rid", "piece"), "rid", "piece", "start", "length")
     return split_by_task(ranged, run, schema)
 
 
