@@ -1,0 +1,220 @@
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodeweave.llm import html_text, quality_rules, secrets, simhash, toxicity
+from lodeweave.llm.boosting import BoostedTrees, Isotonic, RandomForest
+from lodeweave.llm.golay import codeword_indices, link_keys
+
+from .conftest import SCHEMA, words
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><a href="/">Site</a></header><nav><ul><li><a>Home</a></li></ul></nav>
+<div class="cookie-notice">We use cookies, and say so at such length that it would pass for an article of some kind</div>
+<article><h1>A &amp; B</h1><p>First   <b>bo</b>ld&nbsp;line.<script>x("</p>")</script><p>Second<br>third</p><aside>Read also</aside><form><p>Mail</p></form>
+<div id="comments"><article class="comment"><p>Nice!</p></article></div></article><footer>&copy; x</footer></body></html>"""
+
+
+def test_article_without_boilerplate():
+    assert html_text.main_text(PAGE) == "A & B First bold line. Second third"
+
+
+def test_pages_without_article_use_surges():
+    body = "<p>" + "word " * 40 + "</p><p>short end</p>"
+    page = f"<ul><li><a href=x>menu one</a></li><li><a>menu two</a></li></ul><div>{body}</div><div class='footer'>legal</div>"
+    assert html_text.main_text(page) == ("word " * 40).strip() + " short end"
+    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>a</nav>") == ""
+    assert html_text.main_text("<p>unclosed <b") == "unclosed"
+    assert html_text.main_text("&lt;b&gt; &amp;amp;") == "<b> &amp;"
+
+
+def test_pages_table(spark, tmp_path):
+    rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p>" + "x" * 300_000), (1, "u", PAGE)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.op1_html_extraction(spark, str(tmp_path)).collect()}
+    assert got[2] == got[3] == ("", 0) and got[4][1] == 300_000 and got[1][1] == len(got[1][0])
+    wide = spark.createDataFrame([(1, "<p>hello there</p>", "old", 5)], "id int, html string, text string, n_chars int")
+    assert [tuple(r) for r in html_text.extract_text(wide).collect()] == [(1, "hello there", 11)]
+    assert html_text.extract_text(wide.limit(0)).count() == 0
+
+
+def quality_by_hand(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    many = {x for x in tri if tri.count(x) > 1} if len(tri) < 2000 else set()
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len({i + k for i, x in enumerate(tri) if x in many for k in range(3)})
+
+
+def test_quality_counts_equal_brute_force(spark, tmp_path):
+    r = random.Random(1)
+    texts = [None, "", " \n\t", "a", "a b", "a b c a b c", "x\x0by\x0cz", "l\nl\n \n\nl", "#a|b<>", "é ü", "a a a a a"]
+    texts += [" ".join(r.choice("abcd") for _ in range(r.randint(1, 90))) + "\n" * r.randint(0, 3) for _ in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for row in quality_rules.op7_quality_rules(spark, str(tmp_path)).collect():
+        n, chars, symbols, lines, repeats = quality_by_hand(texts[row.doc_id])
+        assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == (n, chars, symbols, lines, repeats), texts[row.doc_id]
+        assert row.base_failed == (n < 50 or 100 * repeats > 50 * n) and not (row.base_failed and row.kept)
+
+
+def test_cascade_order_changes_no_verdict(spark, odd_docs, no_docs):
+    names = list(quality_rules.RULES)
+    kept = [sorted(str(r.doc_id) for r in odd_docs.where(quality_rules.cascade(F.coalesce("text", F.lit("")), quality_rules.RULES, order).isNull()).collect()) for order in (names, names[::-1])]
+    assert kept[0] == kept[1] == sorted(str(r.doc_id) for r in quality_rules.quality_filter(odd_docs).collect())
+    assert quality_rules.order_rules({"a": (1.0, 0.1), "b": (0.1, 0.1), "c": (0.1, 0.0)}) == ["b", "a", "c"]
+    assert quality_rules.quality_filter(no_docs).count() == 0
+
+
+def test_golay_keys_join_all_words_within_two_bits():
+    r = random.Random(2)
+    for _ in range(300):
+        x = r.getrandbits(23)
+        y = x
+        for b in r.sample(range(23), r.randint(0, 2)):
+            y ^= 1 << b
+        a, b = codeword_indices(np.array([x, y]))
+        assert set(a[a >= 0]) & set(b[b >= 0])
+    prints = np.array([r.getrandbits(64) for _ in range(300)], dtype=np.uint64)
+    other = np.array([int(p) ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 2))) for p in prints], dtype=np.uint64)
+    for a, b in zip(link_keys(prints), link_keys(other), strict=True):
+        assert set(a[a >= 0]) & set(b[b >= 0])
+
+
+def components_by_hand(prints):
+    parent = {p: p for p in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for p in prints:
+        for q in prints:
+            if bin(p ^ q).count("1") <= 2:
+                a, b = find(p), find(q)
+                parent[max(a, b)] = min(a, b)
+    return {p: find(p) for p in prints}
+
+
+@pytest.mark.parametrize("wide", [2, 32])
+def test_links_give_exact_components(spark, monkeypatch, wide):
+    monkeypatch.setattr(simhash, "WIDE", wide)
+    r = random.Random(3)
+    prints = {r.getrandbits(63) for _ in range(40)}
+    for p in list(prints)[:6]:
+        for _ in range(25):
+            for b in r.sample(range(63), r.randint(1, 2)):
+                p ^= 1 << b
+            prints.add(p)
+    from lodeweave.llm.components import connected_components
+
+    roots = {x.node: x.root for x in connected_components(simhash.links(spark.createDataFrame([(p,) for p in prints], "print bigint"))).collect()}
+    want = components_by_hand(sorted(prints))
+    groups = lambda f: {frozenset(q for q in prints if f(q) == f(p)) for p in prints}
+    assert groups(lambda p: roots.get(p, p)) == groups(want.get)
+
+
+def test_fingerprints_and_components_of_odd_texts(spark, folder, empty_folder, odd_docs):
+    rows = {}
+    for r in simhash.op9_simhash(spark, folder).collect():
+        rows.setdefault(r.doc_id, (r.fingerprint, r.component_id))
+    assert rows[4] == rows[5] == rows[6] == ("0" * 16, 4)
+    assert rows[0] == rows[1] == rows[9] and rows[0][1] == 0
+    import xxhash
+
+    assert rows[8][0] == f"{xxhash.xxh64_intdigest(b'one two', 42):016x}"
+    assert simhash.fingerprint(simhash.shingle_hashes("a b c d", 3)) == simhash.fingerprint(np.array([xxhash.xxh64_intdigest(x, 42) for x in (b"a b c", b"b c d")], dtype=np.uint64))
+    assert simhash.op9_simhash(spark, empty_folder).count() == 0
+    # as Spark's own hash
+    assert odd_docs.sparkSession.range(1).select(F.xxhash64(F.lit("a b c"))).first()[0] == simhash.signed(xxhash.xxh64_intdigest(b"a b c", 42))
+
+
+def test_near_duplicates_and_one_of_each_stays(spark, odd_docs, no_docs):
+    r = random.Random(4)
+    rows = []
+    for g in range(30):
+        base = words(1000 + g, 150).split()
+        rows.append(" ".join(base))
+        for _ in range(r.randint(0, 30) if g < 3 else r.randint(0, 2)):
+            copy = list(base)
+            copy[r.randrange(150)] = "zz" + str(r.random())
+            rows.append(" ".join(copy))
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(rows)], SCHEMA)
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    kept = sorted(x.doc_id for x in simhash.keep_one(df.withColumn("_dropped", F.lit(0)).withColumn("rid", F.lit(0))).collect())
+    assert kept == sorted({find(i) for i in range(len(rows))})
+    odd = {x.rid: x.group for x in simhash.near_duplicates(odd_docs).collect()}
+    assert odd[1] == odd[2] == odd[0] == 0 and odd[5] == 4 and 7 not in odd
+    assert None in [x.doc_id for x in simhash.keep_one(odd_docs).collect()]
+    assert simhash.keep_one(no_docs).count() == 0 and simhash.near_duplicates(no_docs).count() == 0
+
+
+def test_toxicity_on_held_out_rows(spark, tmp_path):
+    r = random.Random(5)
+    bad = ["idiot", "scum", "grobnitz", "grobnak", "grobler"]
+    rows, labels = [], []
+    for i in range(600):
+        t, y = words(i, r.randint(20, 60)).split(), i % 4 == 0
+        for _ in range(5 if y else 0):
+            t[r.randrange(len(t))] = r.choice(bad)
+        rows.append((i, " ".join(t), "en", "s", 1))
+        labels.append((i, 1, int(y)))
+    rows += [(600, None, None, None, None), (601, "", "en", "s", 0), (None, "x", None, None, 1)]
+    labels += [(602, None, None), (0, 1, 1)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.op2_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == 603 and all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.7) for x in got)
+    held = [x for x in got if x.doc_id is not None and x.doc_id < 600 and x.held_out]
+    assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 3 == 1) for x in held)
+    assert np.mean([x.predicted == (x.doc_id % 4 == 0) for x in held]) > 0.95
+
+
+def test_few_labels_give_the_base_rate():
+    model = toxicity.fit(["a b"] * 4, np.array([1, 0, 0, 0]))
+    assert model.score(np.zeros((2, toxicity.FEATURES))).tolist() == [0.25, 0.25]
+    assert toxicity.fit([], np.array([])).score(np.zeros((1, toxicity.FEATURES))).tolist() == [0.0]
+    assert toxicity.features("", toxicity.Words({})) == [0.0] * toxicity.FEATURES
+
+
+def test_trees_forest_and_isotonic():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(800, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    assert ((BoostedTrees().fit(x[:500], y[:500]).margin(x[500:]) > 0) == y[500:]).mean() > 0.9
+    assert ((RandomForest().fit(x[:500], y[:500]).predict(x[500:]) > 0.5) == y[500:]).mean() > 0.85
+    fit = Isotonic().fit(np.array([1.0, 2.0, 3.0, 4.0]), np.array([0.0, 1.0, 0.0, 1.0]))
+    out = fit(np.linspace(0, 5, 50))
+    assert (np.diff(out) >= 0).all() and out[0] == 0 and out[-1] == 1
+
+
+def test_secrets_are_found_and_lookalikes_left(spark, odd_docs, no_docs):
+    forest = secrets.train()
+    held = secrets.labelled_findings(800, seed=77)
+    right = [(s >= 0.5) == bool(y) for t, y in held for s in secrets.judge(secrets.candidates(t), forest)]
+    assert np.mean(right) > 0.97 and len(right) > 700
+    hexes = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    rows = [(1, f'a token = "{hexes}" b', "en", "s", 50), (2, "card 4785380592391139 end", "en", "s", 3), (3, None, None, None, None), (4, "-----BEGIN PRIVATE KEY-----\nabc", "en", "s", 9), (5, f"é token = '{hexes}'", None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = {(r.rid, r.start, r.length) for r in secrets.scan(df, forest).where("is_secret").collect()}
+    assert found == {(1, 11, 40), (4, 0, 31), (5, 11, 40)}
+    clean = {r.doc_id: r for r in secrets.redact(df, forest).collect()}
+    assert clean[1].text == 'a token = "[SECRET]" b' and clean[1].n_chars == len(clean[1].text)
+    assert clean[2].text == rows[1][1] and clean[2].n_chars == 3 and clean[3].text is None
+    assert secrets.redact(odd_docs, forest).count() == 13 and secrets.scan(no_docs, forest).count() == 0
