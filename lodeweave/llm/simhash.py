@@ -21,6 +21,8 @@ WIDE = 32
 CROWD = 12
 #: Anchored tables of the near-duplicate search.
 TABLES = 8
+#: Ids are broadcast up to this count (8 bytes each).
+MOST_IDS = 500_000
 #: Fingerprints of documents with similarity 0.8 differ in fewer bits than this (0.15 of 64 on average).
 FAR_BITS = 24
 
@@ -109,13 +111,15 @@ def linked_groups(docs: DataFrame, rid: str = "doc_id", text: str = "text", widt
     return rows.join(component, "print").select("rid", "print", "component")
 
 
-def _sketch(docs: DataFrame, width: int) -> DataFrame:
-    """(rid, print, keys): keys join an anchor (the least shingle hash of a table's order) with a Golay index of a segment."""
+def _sketch(rows: DataFrame, width: int) -> DataFrame:
+    """(rid, digest, print, keys): keys join an anchor (the least shingle hash of a table's order) with a Golay index of a
+    segment; digest is that of the whole text."""
     odd = [np.uint64(0x9E3779B97F4A7C15 * (2 * t + 1) & (1 << 64) - 1 | 1) for t in range(TABLES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [shingle_hashes(t, width) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            hashes = [shingle_hashes(t, width) for t in texts]
             prints = np.array([fingerprint(h) for h in hashes], dtype=np.uint64)
             near = [codeword_indices(s) for s in segments(prints)]
             keys = []
@@ -125,9 +129,10 @@ def _sketch(docs: DataFrame, width: int) -> DataFrame:
                     anchor = int((h * odd[t]).min()) if len(h) else 0
                     own += [signed(xxhash.xxh64_intdigest(b"%d %d %d" % (t, anchor, x))) for x in near[t % 3][i].tolist() if x >= 0]
                 keys.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["rid", "print", "keys"])
+            digests = [xxhash.xxh3_128_digest(t.encode()) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(prints.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["rid", "digest", "print", "keys"])
 
-    return docs.mapInArrow(run, "rid bigint, print bigint, keys array<bigint>")
+    return rows.mapInArrow(run, "rid bigint, digest binary, print bigint, keys array<bigint>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -150,30 +155,29 @@ def near_duplicates(docs: DataFrame, rid: str = "doc_id", text: str = "text", wi
     with a null rid are left out.
     """
     small_batches(docs.sparkSession)
-    # texts are compared by a 128-bit digest
     rows = docs.where(F.col(rid).isNotNull()).select(F.col(rid).cast("bigint").alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    same = cut(rows.select("rid", F.unhex(F.md5("text")).alias("digest")))
-    least = same.groupBy("digest").agg(F.min("rid").alias("least"), F.count("*").alias("copies"))
-    texts = rows.join(least.select(F.col("least").alias("rid")).distinct(), "rid", "left_semi")
-    keyed = cut(_sketch(texts, width)).select("rid", "print", F.explode("keys").alias("key")).distinct()
-    member = F.struct("rid", "print")
-    buckets = keyed.groupBy("key").agg(
-        F.count("*").alias("n"),
-        F.min(member).alias("p1"),
-        F.max(member).alias("p2"),
-        F.min_by(member, F.xxhash64("print", "rid")).alias("p3"),
-        F.max_by(member, F.xxhash64("print", "rid")).alias("p4"),
-    ).where("n > 1")
-    met = cut(keyed.join(buckets, "key"))
+    # only sketches are dealt out; texts are equal if their 128-bit digests are
+    sketched = cut(_sketch(rows, width))
+    same = sketched.select("rid", "digest")
+    least = cut(sketched.groupBy("digest").agg(F.min("rid").alias("least"), F.count("*").alias("copies"), F.any_value("print").alias("print"), F.any_value("keys").alias("keys")))
+    keyed = least.select(F.col("least").alias("rid"), F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    prints = least.select(F.col("least").alias("rid"), "print")
+    met = cut(keyed.join(shared, "key").join(prints, "rid"))
     few = met.where(F.col("n") <= CROWD).select("key", "rid", "print")
     other = few.select("key", F.col("rid").alias("b"), F.col("print").alias("print_b"))
     pairs = few.join(other, "key").where("rid < b").select(F.col("rid").alias("a"), "print", "b", "print_b")
-    stars = met.where(F.col("n") > CROWD).select("rid", "print", F.explode(F.array_distinct(F.array("p1", "p2", "p3", "p4"))).alias("p")).select(
-        F.least("rid", "p.rid").alias("a"), "print", F.greatest("rid", "p.rid").alias("b"), F.col("p.print").alias("print_b")
-    )
+    crowd, member = met.where(F.col("n") > CROWD), F.struct("rid", "print")
+    order = F.xxhash64("print", "rid")
+    pivots = crowd.groupBy("key").agg(F.array_distinct(F.array(F.min(member), F.max(member), F.min_by(member, order), F.max_by(member, order))).alias("pivots"))
+    # a document meets the same pivots under many keys: each once
+    facing = crowd.join(pivots, "key").groupBy("rid", "print").agg(F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots"))
+    stars = facing.select("rid", "print", F.explode("pivots").alias("p")).select(F.least("rid", "p.rid").alias("a"), "print", F.greatest("rid", "p.rid").alias("b"), F.col("p.print").alias("print_b"))
     close = F.bit_count(F.col("print").bitwiseXOR(F.col("print_b"))) < FAR_BITS
     candidates = cut(pairs.union(stars).where(close & (F.col("a") < F.col("b"))).select("a", "b").distinct())
-    wanted = candidates.select(F.col("a").alias("rid")).union(candidates.select("b")).distinct()
+    wanted = cut(candidates.select(F.col("a").alias("rid")).union(candidates.select("b")).distinct())
+    # few enough ids go to every task; beyond that the texts are dealt out by id
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_IDS else wanted
     sets = cut(_sets(rows.join(wanted, "rid", "left_semi"), width))
     left, right = sets.select(F.col("rid").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("rid").alias("b"), F.col("hashes").alias("hb"))
     common, sizes = F.size(F.array_intersect("ha", "hb")), F.size("ha") + F.size("hb")
@@ -188,8 +192,9 @@ def near_duplicates(docs: DataFrame, rid: str = "doc_id", text: str = "text", wi
 
 def keep_one(docs: DataFrame, rid: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows without those that near_duplicates() groups under another row; the row of least rid in a group stays."""
-    dropped = near_duplicates(docs, rid, text).where("rid <> group").select(F.col("rid").alias(rid)).distinct()
-    return docs.join(dropped, rid, "left_anti").select(*docs.columns)
+    dropped = cut(near_duplicates(docs, rid, text).where("rid <> group").select(F.col("rid").alias("_dropped")).distinct())
+    dropped = F.broadcast(dropped) if dropped.count() <= MOST_IDS else dropped
+    return docs.join(dropped, docs[rid] == dropped["_dropped"], "left_anti")
 
 
 def hex16(print_: Column) -> Column:
