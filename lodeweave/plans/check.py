@@ -25,6 +25,14 @@ def none():
     return F.lit(None).cast("string")
 
 
+#: Visibility rungs by language, from the narrowest: the scope of each. Fixed values.
+LADDERS = {"js": (0, 3, 4), "go": (1, 3, 4), "java": (0, 1, 4, 4), "kotlin": (0, 3, 4, 4), "rust": (2, 2, 3, 4), "swift": (0, 0, 3, 4, 4)}
+
+
+def ladder(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, i, s) for k, scopes in LADDERS.items() for i, s in enumerate(scopes)], "language string, idx int, scope int")
+
+
 @dataclass
 class Graph:
     files: DataFrame
@@ -263,6 +271,27 @@ def analyse(g: Graph, settings: Settings | None = None) -> tuple[DataFrame, Data
     out.append(_finding(lonely, "test-only", c("kind"), c("path"), c("label"), c("first")))
     out.append(_finding(analyses.unresolved(g.imports.withColumn("confidence", lit(CERTAIN))).distinct(), "unresolved", lit("import"), c("path"), c("specifier")))
 
+    # visibility: what is exported has the package rung, and the public one only on a package's surface
+    open_ = graph.reach(g.edges.where("ref_kind is null and dst is not null").select("src", "dst"), g.roots.where("node like '%#%'").select("node")).select(c("node").alias("sym")).withColumn("public", lit(True))
+    rung = F.when(c("language") == "js", F.when(c("public"), 2).when(c("exported"), 1).otherwise(0)).otherwise(c("visibility")).cast("int")
+    ranked = cut(g.symbols.where(c("language").isin("js", "go", "java", "kotlin")).join(open_, "sym", "left").withColumn("visibility", rung))
+    around = g.nodes().join(g.symbols.select(c("sym").alias("node"), c("path").alias("p")), "node", "left").select(c("node").alias("src"), F.coalesce("p", "node").alias("path")).join(g.files.select("path", "unit", "package"), "path")
+    around = around.select("src", c("path").alias("at_path"), c("unit").alias("at_unit"), c("package").alias("at_package"))
+    needs = assemble.required_scope(c("path") == c("at_path"), c("language").isin("go", "java") & (c("unit") == c("at_unit")), c("package") == c("at_package"))
+    stated = g.edges.where("ekind = 'references'").join(around, "src").join(ranked.select(c("sym").alias("dst"), "path", "unit", "package", "language"), "dst")
+    used = stated.where("src <> dst").select(c("dst").alias("sym"), needs.alias("scope"), "confidence")
+    exempt = g.roots.select(c("node").alias("sym")).union(colors.where("color = 'unreachable'").select("node")).distinct()
+    judgeable = ranked.where("kind <> 'constructor' and not implicitly_invoked and origin = 'authored' and role = 'production'").withColumn("nested_scope", lit(False)).join(exempt, "sym", "left_anti")
+    narrow = analyses.internal_only(judgeable, used, ladder(g.files.sparkSession)).where("confidence = 2")
+    out.append(_finding(narrow.join(by_sym, "sym"), "internal-only", c("kind"), c("path"), c("label"), c("first")))
+    held = g.symbols.select(c("sym").alias("decl"), c("first").alias("signature_start"), c("signature_last").alias("signature_end"), c("language").alias("l1"))
+    named = g.edges.where("ref_kind = 'type-use'").select(c("src").alias("decl"), c("dst").alias("type"), "confidence", "line").join(held, "decl").join(g.symbols.select(c("sym").alias("type"), c("language").alias("l2")), "type")
+    owner = g.symbols.where("member_of is null").select("path", c("name").alias("member_of"), c("sym").alias("owner"))
+    chain = ranked.join(owner, ["path", "member_of"], "left").select("sym", "owner", "exported", "visibility")
+    leaks = analyses.private_type_leak(named.withColumn("same_language", c("l1") == c("l2")), analyses.effective_surface(chain))
+    shown = leaks.join(by_sym, leaks.decl == by_sym.sym).join(by_sym.select(c("sym").alias("leaked"), c("label").alias("type_label")), "leaked")
+    out.append(_finding(shown, "private-type-leak", c("kind"), c("path"), c("label"), c("first"), message=c("type_label"), extra=c("type_label")))
+
     findings = out[0]
     for rows in out[1:]:
         findings = findings.unionByName(rows)

@@ -38,6 +38,14 @@ PROJECTS = {
         },
         {("version-skew", "dependency", "packages/a/package.json", "chalk"), ("undeclared", "dependency", "packages/a/package.json", "phantom"), ("cyclic", "package", "packages/a/package.json", None)},
     ),
+    "visibility": (
+        {
+            "package.json": '{"name":"x","main":"m.ts"}',
+            "m.ts": "import {run} from './r'; export const m = run;",
+            "r.ts": "export function helper(a) {\n  return a;\n}\ninterface Hidden { a: number }\nexport function run(x: Hidden) {\n  return helper(x);\n}\n",
+        },
+        {("internal-only", "function", "r.ts", "helper"), ("private-type-leak", "function", "r.ts", "run")},
+    ),
     "suppressed": (
         {"package.json": '{"name":"x","main":"m.ts"}', "m.ts": "export const m = 1;\n// weave:allow unused kept for later\nfunction old() { return 1; }\n// weave:allow unused\nconst y = 2;\nexport const z = y;\n"},
         {("stale", "suppression", "m.ts", None)},
@@ -51,7 +59,7 @@ def write(root, files):
         (root / path).write_text(text)
 
 
-@pytest.mark.parametrize("names", [("cyclic", "clones", "crap", "suppressed"), ("hygiene",), ("monorepo",)])
+@pytest.mark.parametrize("names", [("cyclic", "clones", "crap", "suppressed", "visibility"), ("hygiene",), ("monorepo",)])
 def test_golden(spark, tmp_path, names):
     """Projects side by side are packages of their own; those whose findings would mix stand alone."""
     want = set()
