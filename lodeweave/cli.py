@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .operators import health, navigate
 from .operators.report import display_order
+from .plans import batch
 from .plans.check import analyse, assemble_graph, check, check_diff
 from .sources import config, discover, sinks
 
@@ -24,7 +25,7 @@ RANK = {"none": None, "info": 0, "warning": 1, "error": 2}
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="lodeweave")
     sub = out.add_subparsers(dest="verb", required=True)
-    for verb in ("check", "health", "find", "describe", "uses", "used-by", "trace", "impact", "baseline", "doctor"):
+    for verb in ("check", "health", "find", "describe", "uses", "used-by", "trace", "impact", "baseline", "doctor", "query", "explain"):
         p = sub.add_parser(verb)
         p.add_argument("root")
         p.add_argument("arguments", nargs="*")
@@ -59,8 +60,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
             for r in rows:
                 say(r.delta, r.origin, r.id)
             return int(any(r.delta == "new" for r in rows) and settings.fail_on is not None)
-        if a.verb in ("check", "health", "baseline"):
+        if a.verb in ("check", "health", "baseline", "query", "explain"):
             result = check(spark, a.root, settings)
+            if a.verb in ("query", "explain"):
+                lines = sys.stdin if a.verb == "query" else [json.dumps({"verb": "explain", "id": a.arguments[0]})]
+                answers = list(batch.answer_lines(result, lines))
+                for line in answers:
+                    say(line)
+                return int(any("error" in json.loads(x) for x in answers))
             rows = [r.asDict() for r in display_order(result.findings).collect()]
             score = health.score(result.health).first().asDict()
             if a.verb == "health":
