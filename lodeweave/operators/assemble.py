@@ -301,3 +301,45 @@ def externally_invoked(symbols: DataFrame, rules: list[tuple[list[str], str]]) -
     for markers, glob in rules:
         hit = hit | (F.arrays_overlap("markers", F.array(*map(F.lit, markers))) & F.col("path").rlike(glob_to_regex(glob)))
     return symbols.where(hit).select(F.lit("production").alias("kind"), F.col("sym").alias("node"), F.lit(CERTAIN).alias("confidence"))
+
+
+def region_covers(outer_scope: Column, outer_path: Column, outer_unit: Column, outer_package: Column, scope: Column, path: Column, unit: Column, package: Column) -> Column:
+    """Whether everything that sees an inner declaration's region also lies in the outer one's region."""
+    wide = outer_scope >= PUBLIC
+    in_package = (outer_scope >= PACKAGE) & (scope <= PACKAGE) & outer_package.eqNullSafe(package)
+    in_unit = (outer_scope >= UNIT) & (scope < PACKAGE) & outer_unit.eqNullSafe(unit)
+    in_file = (scope == FILE) & outer_path.eqNullSafe(path)
+    return wide | in_package | in_unit | in_file
+
+
+def chained_members(chains: DataFrame, fields: DataFrame, most: int = 8) -> DataFrame:
+    """(ref, type): the type at the end of member chains `a.b.c`, by member-type facts; null where a step isn't known.
+
+    chains: (ref, type, steps array); fields: (type, member, yields). Steps are taken one a round, by a join of all chains
+    that still have one; the type of a generic member is its bare name.
+    """
+    now = chains.select("ref", "type", "steps")
+    bare = fields.groupBy("type", "member").agg(F.min("yields").alias("yields")).withColumnRenamed("type", "of")
+    for _ in range(most):
+        if now.where("type is not null and size(steps) > 0").isEmpty():
+            break
+        first = F.when(F.size("steps") > 0, F.get("steps", F.lit(0)))
+        met = now.withColumn("member", first).join(bare.withColumnRenamed("member", "m"), (F.col("type") == F.col("of")) & (F.col("member") == F.col("m")), "left")
+        left = F.size("steps") > 0
+        now = cut(met.select("ref", F.when(left, F.regexp_replace("yields", "<.*$", "")).otherwise(F.col("type")).alias("type"), F.when(left, F.slice("steps", 2, F.greatest(F.size("steps") - 1, F.lit(0)))).otherwise(F.col("steps")).alias("steps")))
+    return now.select("ref", F.when(F.size("steps") == 0, F.col("type")).alias("type"))
+
+
+def surface_signature(facts: DataFrame) -> DataFrame:
+    """(path, surface): a digest of what other files depend on, without lines, so that a shift leaves it as it is."""
+    shown = F.transform("facts.declarations", lambda d: F.struct(d["name"], d["kind"], d["exported"], d["member_of"], d["visibility"], d["implements"]))
+    brought = F.transform("facts.imports", lambda i: F.struct(i["specifier"], i["name"], i["alias"], i["reexport"]))
+    return facts.select("path", F.sha2(F.to_json(F.struct(F.array_sort(shown).alias("d"), F.array_sort(brought).alias("i"), F.col("facts.unit").alias("u"))), 256).alias("surface"))
+
+
+def is_stdlib(specifier: Column, prefixes: list[str], names: list[str]) -> Column:
+    """Whether a specifier belongs to the standard library: by a prefix of whole segments, or as a listed name."""
+    hit = specifier.isin(*names)
+    for p in prefixes:
+        hit = hit | (specifier == p) | specifier.startswith(p if p.endswith((".", ":", "/")) else p + ".")
+    return hit

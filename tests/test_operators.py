@@ -182,6 +182,22 @@ def test_config():
     assert config.merge(s, config.Settings(skip=["cyclic"], min_confidence=2)).skip == ["crap", "cyclic"]
 
 
+def test_chains_regions_and_surfaces(spark):
+    chains = spark.createDataFrame([(1, "A", ["b", "c"]), (2, "A", ["x"]), (3, "A", []), (4, None, ["b"])], "ref int, type string, steps array<string>")
+    fields = spark.createDataFrame([("A", "b", "B<T>"), ("B", "c", "C")], "type string, member string, yields string")
+    assert {r.ref: r.type for r in assemble.chained_members(chains, fields).collect()} == {1: "C", 2: None, 3: "A", 4: None}
+    rows = [(4, "p", "u", "k", 3, "q", "v", "l"), (3, "p", "u", "k", 3, "q", "v", "k"), (0, "p", "u", "k", 3, "p", "u", "k"), (0, "p", "u", "k", 0, "p", "u", "k"), (1, "p", "u", "k", 0, "q", "u", "k")]
+    df = spark.createDataFrame(rows, "a int, b string, c string, d string, e int, f string, g string, h string")
+    assert [r.x for r in df.select(assemble.region_covers(*[F.col(x) for x in "abcdefgh"]).alias("x")).collect()] == [True, True, False, True, True]
+    from lodeweave.sources import extract
+
+    files = lambda text: extract.facts_of(spark.createDataFrame([("a.ts", "h", bytearray(text))], "path string, content_hash string, content binary"))
+    one, moved, changed = (assemble.surface_signature(files(t)).first().surface for t in (b"export const a = 1;", b"\n// x\nexport const a = 1;", b"export const a = 1; export const b = 2;"))
+    assert one == moved != changed
+    names = spark.createDataFrame([("java.util",), ("javax.x",), ("javac",), ("kotlin",)], "s string")
+    assert [r.x for r in names.select(assemble.is_stdlib(F.col("s"), ["java", "javax."], ["kotlin"]).alias("x")).collect()] == [True, True, False, True]
+
+
 def test_incremental(spark):
     edges = spark.createDataFrame([("a", "b", "f"), ("c", "d", "g")], "src string, dst string, owner string")
     fresh = spark.createDataFrame([("a", "z", "f")], "src string, dst string, owner string")
