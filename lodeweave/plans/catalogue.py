@@ -116,7 +116,7 @@ def duplicate_files(spark, sf_dir):
 
 def document_shapes(spark, sf_dir) -> DataFrame:
     tokens = F.filter(F.split("text", r"[ \t-\r]+"), lambda t: t != "")
-    docs = P.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), tokens.alias("tokens")).where(F.size("tokens") >= FLOOR)
+    docs = P.spread(P.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", F.col("lang").alias("language"), tokens.alias("tokens")).where(F.size("tokens") >= FLOOR)
     hashed = cut(docs.select("doc_id", "language", F.size("tokens").alias("n_tokens"), grams(F.col("tokens")).alias("grams")))
     return hashed.select("doc_id", "language", "n_tokens", winnow(F.col("grams")).alias("fingerprints"))
 
