@@ -25,7 +25,7 @@ from .common import small_batches
 
 #: Labelled rows that the model is fitted on, at most: those of the least hashes of their ids.
 MAX_LABELLED = 8000
-#: Characters of a labelled text that count for the learnt lexicon are not limited; distinct entries kept are, by strength.
+#: Entries of the learnt lexicon at most, the strongest first; the labelled texts themselves are read whole.
 MAX_LEXICON = 20_000
 #: Insults, second-person words, and letters that symbols stand for.
 INSULTS = frozenset("idiot idiots idiotic moron morons moronic stupid dumb loser losers trash scum pathetic worthless disgusting clown clowns fool fools jerk imbecile garbage filth vermin hate ugly crap".split())
