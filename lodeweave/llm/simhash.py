@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,19 +13,17 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_batches
 from .components import connected_components
-from .golay import codeword_indices, link_keys, segments
+from .golay import link_keys
 
 SEED = 42
 #: Keys with more fingerprints than this are linked through single-bit neighbours instead of pairs.
 WIDE = 32
 #: Buckets with more documents than this are compared with a few pivots instead of pairwise.
 CROWD = 12
-#: Anchored tables of the near-duplicate search.
-TABLES = 8
+#: Texts and shingles that the order of the prefixes is learnt from; any order gives the same pairs.
+ORDER_TEXTS, ORDER_SHINGLES = 10_000, 100_000
 #: Ids are broadcast up to this count (8 bytes each).
 MOST_IDS = 500_000
-#: Fingerprints of documents with similarity 0.8 differ in fewer bits than this (0.15 of 64 on average).
-FAR_BITS = 24
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -111,77 +110,106 @@ def linked_groups(docs: DataFrame, rid: str = "doc_id", text: str = "text", widt
     return rows.join(component, "print").select("rid", "print", "component")
 
 
-def _sketch(rows: DataFrame, width: int) -> DataFrame:
-    """(rid, digest, print, keys): keys join an anchor (the least shingle hash of a table's order) with a Golay index of a
-    segment; digest is that of the whole text."""
-    odd = [np.uint64(0x9E3779B97F4A7C15 * (2 * t + 1) & (1 << 64) - 1 | 1) for t in range(TABLES)]
+def _common_shingles(rows: DataFrame, width: int) -> np.ndarray:
+    """Shingles that several of some texts have, the least common first. Only the order of the prefixes rests on them."""
+    n = rows.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            hashes = [shingle_hashes(t, width) for t in texts]
-            prints = np.array([fingerprint(h) for h in hashes], dtype=np.uint64)
-            near = [codeword_indices(s) for s in segments(prints)]
-            keys = []
-            for i, h in enumerate(hashes):
-                own = []
-                for t in range(TABLES):
-                    anchor = int((h * odd[t]).min()) if len(h) else 0
-                    own += [signed(xxhash.xxh64_intdigest(b"%d %d %d" % (t, anchor, x))) for x in near[t % 3][i].tolist() if x >= 0]
-                keys.append(own)
-            digests = [xxhash.xxh3_128_digest(t.encode()) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(prints.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["rid", "digest", "print", "keys"])
-
-    return rows.mapInArrow(run, "rid bigint, digest binary, print bigint, keys array<bigint>")
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, width)).view(np.int64))], ["shingle"])
+
+    some = rows.where(F.pmod(F.xxhash64("rid", F.lit(5)), F.lit(max(1, -(-n // ORDER_TEXTS)))) == 0).select("text")
+    counted = some.mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
+    top = counted.orderBy(F.desc("n"), "shingle").limit(ORDER_SHINGLES).toArrow()
+    return top.column("shingle").to_numpy()[::-1].view(np.uint64)
+
+
+def least_common(size: int, similarity: float) -> int:
+    """Shingles that a set of `size` shares at least with any set at `similarity` or more."""
+    return math.ceil(similarity * size - 1e-9)
+
+
+def _sketch(rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(rid, digest, size, keys): keys are the prefix of the distinct shingles, the rarest first; digest is that of the
+    whole text, or of the empty one where there is no word."""
+    common = _common_shingles(rows, width)
+    order = np.argsort(common)
+    known = rows.sparkSession.sparkContext.broadcast((common[order], order + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, ranks = known.value
+        for batch in batches:
+            digests, sizes, keys = [], [], []
+            for t in batch.column(1).to_pylist():
+                h = np.unique(shingle_hashes(t, width))
+                rank = np.zeros(len(h), dtype=np.int64)
+                if len(values) and len(h):
+                    at = np.minimum(np.searchsorted(values, h), len(values) - 1)
+                    rank = np.where(values[at] == h, ranks[at], 0)
+                first = np.lexsort((h, rank))[: len(h) - least_common(len(h), similarity) + 1]
+                digests.append(xxhash.xxh3_128_digest(t.encode() if len(h) else b""))
+                sizes.append(len(h))
+                keys.append(h[first].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["rid", "digest", "size", "keys"])
+
+    return rows.mapInArrow(run, "rid bigint, digest binary, size int, keys array<bigint>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, width).astype(np.uint32)).view(np.int32) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["rid", "hashes"])
+            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rid", "hashes"])
+
+    return docs.mapInArrow(run, "rid bigint, hashes array<bigint>")
 
-    return docs.mapInArrow(run, "rid bigint, hashes array<int>")
+
+def _verified(rows: DataFrame, candidates: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(u, v) of the candidates (a, b) whose whole shingle sets are at `similarity` or more."""
+    wanted = cut(candidates.select(F.col("a").alias("rid")).union(candidates.select("b")).distinct())
+    # few enough ids go to every task; beyond that the texts are dealt out by id
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_IDS else wanted
+    sets = cut(_sets(rows.join(wanted, "rid", "left_semi"), width))
+    left, right = sets.select(F.col("rid").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("rid").alias("b"), F.col("hashes").alias("hb"))
+    common, sizes = F.size(F.array_intersect("ha", "hb")), F.size("ha") + F.size("hb")
+    return cut(candidates.join(left, "a").join(right, "b").where(common >= similarity * (sizes - common) - 1e-9).select(F.col("b").alias("u"), F.col("a").alias("v")))
 
 
 def near_duplicates(docs: DataFrame, rid: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(rid, group) of every row that belongs to a group of two or more; group is the least rid in it.
 
     Groups are the components of links between equal texts and between texts whose sets of `width`-word shingles have a
-    Jaccard similarity of `similarity` or more. Texts collapse to one representative each first. Candidates share a key;
-    two texts at 0.8 miss all keys with a probability of about 0.01. Every candidate is verified on the whole shingle
-    sets (32-bit hashes). In a bucket of more than CROWD texts each is compared with up to four pivots, not with all, so
-    that the work stays in proportion to the bucket. Null texts count as empty, and all empty texts are one group; rows
-    with a null rid are left out.
+    Jaccard similarity of `similarity` or more. Texts collapse to one representative each first. Candidates share a key:
+    the keys of a set of n shingles are its n - ceil(similarity * n) + 1 rarest in one order of all shingles, so two sets
+    at `similarity` have one in common. Every candidate is verified on the whole shingle sets (64-bit hashes). In a
+    bucket of more than CROWD texts each is compared with up to four pivots, not with all, so a
+    link there can be lost. Null texts count as empty, and
+    all texts without a word are one group; rows with a null rid are left out.
     """
     small_batches(docs.sparkSession)
     rows = docs.where(F.col(rid).isNotNull()).select(F.col(rid).cast("bigint").alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # only sketches are dealt out; texts are equal if their 128-bit digests are
-    sketched = cut(_sketch(rows, width))
+    sketched = cut(_sketch(rows, width, similarity))
     same = sketched.select("rid", "digest")
-    least = cut(sketched.groupBy("digest").agg(F.min("rid").alias("least"), F.count("*").alias("copies"), F.any_value("print").alias("print"), F.any_value("keys").alias("keys")))
-    keyed = least.select(F.col("least").alias("rid"), F.explode("keys").alias("key"))
+    least = cut(sketched.groupBy("digest").agg(F.min("rid").alias("least"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in ("size", "keys")]))
+    keyed = least.select(F.col("least").alias("rid"), "size", F.posexplode("keys").alias("pos", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    prints = least.select(F.col("least").alias("rid"), "print")
-    met = cut(keyed.join(shared, "key").join(prints, "rid"))
-    few = met.where(F.col("n") <= CROWD).select("key", "rid", "print")
-    other = few.select("key", F.col("rid").alias("b"), F.col("print").alias("print_b"))
-    pairs = few.join(other, "key").where("rid < b").select(F.col("rid").alias("a"), "print", "b", "print_b")
-    crowd, member = met.where(F.col("n") > CROWD), F.struct("rid", "print")
-    order = F.xxhash64("print", "rid")
+    met = cut(keyed.join(shared, "key"))
+    few = met.where(F.col("n") <= CROWD).select("key", "rid", "size", "pos")
+    other = few.select("key", F.col("rid").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"))
+    # if the key is the first in common, the rest behind it must hold enough
+    enough = F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b")) >= similarity / (1 + similarity) * (F.col("size") + F.col("size_b")) - 1e-6
+    pairs = few.join(other, "key").where((F.col("rid") < F.col("b")) & enough).select(F.col("rid").alias("a"), "b")
+    crowd, member = met.where(F.col("n") > CROWD), F.struct("rid", "size")
+    order = F.xxhash64("rid")
     pivots = crowd.groupBy("key").agg(F.array_distinct(F.array(F.min(member), F.max(member), F.min_by(member, order), F.max_by(member, order))).alias("pivots"))
     # a document meets the same pivots under many keys: each once
-    facing = crowd.join(pivots, "key").groupBy("rid", "print").agg(F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots"))
-    stars = facing.select("rid", "print", F.explode("pivots").alias("p")).select(F.least("rid", "p.rid").alias("a"), "print", F.greatest("rid", "p.rid").alias("b"), F.col("p.print").alias("print_b"))
-    close = F.bit_count(F.col("print").bitwiseXOR(F.col("print_b"))) < FAR_BITS
-    candidates = cut(pairs.union(stars).where(close & (F.col("a") < F.col("b"))).select("a", "b").distinct())
-    wanted = cut(candidates.select(F.col("a").alias("rid")).union(candidates.select("b")).distinct())
-    # few enough ids go to every task; beyond that the texts are dealt out by id
-    wanted = F.broadcast(wanted) if wanted.count() <= MOST_IDS else wanted
-    sets = cut(_sets(rows.join(wanted, "rid", "left_semi"), width))
-    left, right = sets.select(F.col("rid").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("rid").alias("b"), F.col("hashes").alias("hb"))
-    common, sizes = F.size(F.array_intersect("ha", "hb")), F.size("ha") + F.size("hb")
-    verified = candidates.join(left, "a").join(right, "b").where(common >= similarity * (sizes - common)).select(F.col("b").alias("u"), F.col("a").alias("v"))
+    facing = crowd.join(pivots, "key").groupBy("rid", "size").agg(F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots"))
+    alike = F.least("size", "p.size") >= similarity * F.greatest("size", "p.size") - 1e-6
+    stars = facing.select("rid", "size", F.explode("pivots").alias("p")).where(alike).select(F.least("rid", "p.rid").alias("a"), F.greatest("rid", "p.rid").alias("b"))
+    candidates = cut(pairs.union(stars).where(F.col("a") < F.col("b")).distinct())
+    verified = _verified(rows, candidates, width, similarity)
     roots = connected_components(verified)
     # the texts' groups, carried back to all of their copies
     groups = least.join(roots, least.least == roots.node, "left").select("digest", "copies", F.coalesce("root", "least").alias("group"), F.col("root").isNotNull().alias("linked"))

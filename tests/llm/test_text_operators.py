@@ -218,3 +218,31 @@ def test_secrets_are_found_and_lookalikes_left(spark, odd_docs, no_docs):
     assert clean[1].text == 'a token = "[SECRET]" b' and clean[1].n_chars == len(clean[1].text)
     assert clean[2].text == rows[1][1] and clean[2].n_chars == 3 and clean[3].text is None
     assert secrets.redact(odd_docs, forest).count() == 13 and secrets.scan(no_docs, forest).count() == 0
+
+
+def near_pairs(rows, width=5):
+    """Brute force: (i, j) with a similarity of 0.8 or more."""
+    sets = [set(simhash.shingle_hashes(t, width).tolist()) for t in rows]
+    return [(i, j) for j in range(len(rows)) for i in range(j) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+
+
+def groups_of(rows, pairs):
+    root = list(range(len(rows)))
+    for i, j in pairs:
+        old, new = max(root[i], root[j]), min(root[i], root[j])
+        root = [new if x == old else x for x in root]
+    return {i: x for i, x in enumerate(root) if root.count(x) > 1}
+
+
+def test_every_pair_at_the_threshold_is_a_candidate(spark):
+    r, rows = random.Random(8), []
+    for g in range(300):  # pairs of texts that differ in three or four places: 0.8 or a little more or less
+        base = words(5000 + g, 160).split()
+        rows.append(" ".join(base))
+        for at in r.sample(range(5, 155, 6), 3):
+            base[at] = f"zz{g}x{at}"
+        rows.append(" ".join(base))
+    pairs = near_pairs(rows)
+    assert len(pairs) > 200
+    found = {x.rid: x.group for x in simhash.near_duplicates(spark.createDataFrame(enumerate(rows), "doc_id bigint, text string")).collect()}
+    assert found == groups_of(rows, pairs)
