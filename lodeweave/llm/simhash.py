@@ -18,8 +18,10 @@ from .golay import link_keys
 SEED = 42
 #: Keys with more fingerprints than this are linked through single-bit neighbours instead of pairs.
 WIDE = 32
-#: Buckets with more documents than this are compared with a few pivots instead of pairwise.
+#: Buckets with more documents than this are compared with a few pivots first; what these don't join goes pairwise by tiles.
 CROWD = 12
+#: Documents of a crowded bucket that are compared as one block.
+TILE = 512
 #: Texts and shingles that the order of the prefixes is learnt from; any order gives the same pairs.
 ORDER_TEXTS, ORDER_SHINGLES = 10_000, 100_000
 #: Ids are broadcast up to this count (8 bytes each).
@@ -130,8 +132,16 @@ def least_common(size: int, similarity: float) -> int:
     return math.ceil(similarity * size - 1e-9)
 
 
+def parity_map(hashes: np.ndarray) -> bytes:
+    """Bit i is the parity of the hashes that fall on i, over four bits a hash or more. Two maps differ in no more bits than
+    their sets have elements apart; the longer folds to the shorter by XOR of its parts."""
+    bits = max(512, 1 << int(4 * len(hashes)).bit_length())
+    at = (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) & bits - 1
+    return np.packbits(np.bincount(at, minlength=bits) & 1).tobytes()
+
+
 def _sketch(rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(rid, digest, size, keys): keys are the prefix of the distinct shingles, the rarest first; digest is that of the
+    """(rid, digest, size, keys, map): keys are the prefix of the distinct shingles, the rarest first; digest is that of the
     whole text, or of the empty one where there is no word."""
     common = _common_shingles(rows, width)
     order = np.argsort(common)
@@ -140,7 +150,7 @@ def _sketch(rows: DataFrame, width: int, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, ranks = known.value
         for batch in batches:
-            digests, sizes, keys = [], [], []
+            digests, sizes, keys, maps = [], [], [], []
             for t in batch.column(1).to_pylist():
                 h = np.unique(shingle_hashes(t, width))
                 rank = np.zeros(len(h), dtype=np.int64)
@@ -151,9 +161,10 @@ def _sketch(rows: DataFrame, width: int, similarity: float) -> DataFrame:
                 digests.append(xxhash.xxh3_128_digest(t.encode() if len(h) else b""))
                 sizes.append(len(h))
                 keys.append(h[first].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["rid", "digest", "size", "keys"])
+                maps.append(parity_map(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.binary())], ["rid", "digest", "size", "keys", "map"])
 
-    return rows.mapInArrow(run, "rid bigint, digest binary, size int, keys array<bigint>")
+    return rows.mapInArrow(run, "rid bigint, digest binary, size int, keys array<bigint>, map binary")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -176,6 +187,68 @@ def _verified(rows: DataFrame, candidates: DataFrame, width: int, similarity: fl
     return cut(candidates.join(left, "a").join(right, "b").where(common >= similarity * (sizes - common) - 1e-9).select(F.col("b").alias("u"), F.col("a").alias("v")))
 
 
+def _by_maps(candidates: DataFrame, least: DataFrame, similarity: float) -> DataFrame:
+    """The candidates (a, b) that their parity maps don't rule out; maps are far smaller than the sets."""
+    apart = (1 - similarity) / (1 + similarity)
+    of = lambda c: least.select(F.col("least").alias(c), F.col("size").alias(f"size_{c}"), F.col("map").alias(f"map_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("size_a").to_numpy().astype(np.int64) + batch.column("size_b").to_numpy()
+            far = []
+            for x, y in zip(batch.column("map_a").to_pylist(), batch.column("map_b").to_pylist(), strict=True):
+                w = min(len(x), len(y)) // 8
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                far.append(int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, w)) ^ np.bitwise_xor.reduce(y.reshape(-1, w))).sum(dtype=np.int64)))
+            yield batch.select(["a", "b"]).filter(pa.array(np.array(far, dtype=np.int64) <= apart * total + 1e-6, pa.bool_()))
+
+    return candidates.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a bigint, b bigint")
+
+
+def tile_pairs(table: pa.Table, similarity: float) -> pa.Table:
+    """(a, b) of the documents of one block that may be at `similarity` and are not joined yet. A pair that its sizes, the
+    places of the key or the parity maps rule out is not at `similarity`, or has an earlier key in common."""
+    share, apart = similarity / (1 + similarity), (1 - similarity) / (1 + similarity)
+    rid, root, size, pos, tile = (table.column(c).to_numpy() for c in ("rid", "root", "size", "pos", "tile"))
+    maps = [np.frombuffer(m, np.uint64) for m in table.column("map").to_pylist()]
+    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    us, vs = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi)
+    out_a, out_b = [], []
+    words = np.array([len(m) for m in maps])
+    for wu in np.unique(words[us]):
+        for wv in np.unique(words[vs]):
+            w = min(wu, wv)
+            own, others = us[words[us] == wu], vs[words[vs] == wv]
+            folded = {k: np.stack([np.bitwise_xor.reduce(maps[i].reshape(-1, w)) for i in part]) for k, part in (("u", own), ("v", others))}
+            for i, u in enumerate(own):
+                total, left = size[u] + size[others], np.minimum(size[u] - pos[u], size[others] - pos[others])
+                may = (root[others] != root[u]) & (left >= share * total - 1e-6)
+                may &= (rid[others] != rid[u]) if lo != hi else (rid[others] > rid[u])
+                js = np.flatnonzero(may)
+                if len(js):
+                    far = np.bitwise_count(folded["v"][js] ^ folded["u"][i]).sum(axis=1, dtype=np.int64)
+                    js = js[far <= apart * total[js] + 1e-6]
+                    out_a.append(np.minimum(rid[u], rid[others[js]]))
+                    out_b.append(np.maximum(rid[u], rid[others[js]]))
+    none = np.zeros(0, dtype=np.int64)
+    return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
+
+
+def _crowded_rest(crowd: DataFrame, least: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): candidates of crowded buckets among documents that the links so far do not join."""
+    rooted = cut(crowd.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid")))
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    rest = rooted.select("key", "rid", "size", "pos", "root").join(open_keys, "key")
+    rest = rest.withColumn("tile", F.pmod(F.xxhash64("rid", F.lit(7)), F.col("tiles")).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rest = rest.select("key", F.least("tile", "t").alias("lo"), F.greatest("tile", "t").alias("hi"), "tile", "rid", "size", "pos", "root")
+    mapped = rest.join(least.select(F.col("least").alias("rid"), "map"), "rid")
+
+    def run(table: pa.Table) -> pa.Table:
+        return tile_pairs(table, similarity)
+
+    return mapped.groupBy("key", "lo", "hi").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, rid: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(rid, group) of every row that belongs to a group of two or more; group is the least rid in it.
 
@@ -183,8 +256,8 @@ def near_duplicates(docs: DataFrame, rid: str = "doc_id", text: str = "text", wi
     Jaccard similarity of `similarity` or more. Texts collapse to one representative each first. Candidates share a key:
     the keys of a set of n shingles are its n - ceil(similarity * n) + 1 rarest in one order of all shingles, so two sets
     at `similarity` have one in common. Every candidate is verified on the whole shingle sets (64-bit hashes). In a
-    bucket of more than CROWD texts each is compared with up to four pivots, not with all, so a
-    link there can be lost. Null texts count as empty, and
+    bucket of more than CROWD texts each is compared with up to four pivots first; then the texts of a bucket that are
+    not in one component yet are compared pairwise, in tiles, by filters that lose no pair. Null texts count as empty, and
     all texts without a word are one group; rows with a null rid are left out.
     """
     small_batches(docs.sparkSession)
@@ -192,7 +265,7 @@ def near_duplicates(docs: DataFrame, rid: str = "doc_id", text: str = "text", wi
     # only sketches are dealt out; texts are equal if their 128-bit digests are
     sketched = cut(_sketch(rows, width, similarity))
     same = sketched.select("rid", "digest")
-    least = cut(sketched.groupBy("digest").agg(F.min("rid").alias("least"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in ("size", "keys")]))
+    least = cut(sketched.groupBy("digest").agg(F.min("rid").alias("least"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in ("size", "keys", "map")]))
     keyed = least.select(F.col("least").alias("rid"), "size", F.posexplode("keys").alias("pos", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = cut(keyed.join(shared, "key"))
@@ -208,9 +281,13 @@ def near_duplicates(docs: DataFrame, rid: str = "doc_id", text: str = "text", wi
     facing = crowd.join(pivots, "key").groupBy("rid", "size").agg(F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots"))
     alike = F.least("size", "p.size") >= similarity * F.greatest("size", "p.size") - 1e-6
     stars = facing.select("rid", "size", F.explode("pivots").alias("p")).where(alike).select(F.least("rid", "p.rid").alias("a"), F.greatest("rid", "p.rid").alias("b"))
-    candidates = cut(pairs.union(stars).where(F.col("a") < F.col("b")).distinct())
+    candidates = cut(_by_maps(pairs.union(stars).where(F.col("a") < F.col("b")).distinct(), least, similarity).distinct())
     verified = _verified(rows, candidates, width, similarity)
     roots = connected_components(verified)
+    if not crowd.isEmpty():
+        rest = cut(_crowded_rest(crowd, least, roots, similarity).join(candidates, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            roots = connected_components(verified.union(_verified(rows, rest, width, similarity)))
     # the texts' groups, carried back to all of their copies
     groups = least.join(roots, least.least == roots.node, "left").select("digest", "copies", F.coalesce("root", "least").alias("group"), F.col("root").isNotNull().alias("linked"))
     heads = roots.select(F.col("root").alias("group")).distinct().withColumn("head", F.lit(True))

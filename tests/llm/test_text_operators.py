@@ -246,3 +246,23 @@ def test_every_pair_at_the_threshold_is_a_candidate(spark):
     assert len(pairs) > 200
     found = {x.rid: x.group for x in simhash.near_duplicates(spark.createDataFrame(enumerate(rows), "doc_id bigint, text string")).collect()}
     assert found == groups_of(rows, pairs)
+
+
+@pytest.mark.parametrize("crowd", [12, 2])
+def test_crowds_of_unrelated_texts_that_share_passages(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "TILE", 16, raising=False)
+    r, rows = random.Random(9), []
+    passages = [words(9000 + k, 150) for k in range(2)]
+    for g in range(120):  # 0.7 with each other; each third has a near copy
+        own = f"{passages[g % 2]} {words(9100 + g, 27)}"
+        rows.append(own)
+        if g % 3 == 0:
+            copy = own.split()
+            copy[r.randrange(160, 170)] = f"zz{g}"
+            rows.append(" ".join(copy))
+    r.shuffle(rows)
+    pairs = near_pairs(rows)
+    assert len(pairs) >= 40
+    found = {x.rid: x.group for x in simhash.near_duplicates(spark.createDataFrame(enumerate(rows), "doc_id bigint, text string")).collect()}
+    assert found == groups_of(rows, pairs)
