@@ -10,9 +10,11 @@ taken, the fullest closes first.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +31,23 @@ END = 0
 
 @cache
 def encoder(path: str):
-    """text -> ids for a tokenizer file: rank files (.tiktoken) by tiktoken, others by tokenizers; special strings are text."""
+    """text -> ids for a tokenizer file: rank files (.tiktoken) by tiktoken, others by tokenizers.
+
+    The added tokens of the tokenizer file (for a rank file, of the .json beside it) have their own ids wherever they stand.
+    """
     if path.endswith(".tiktoken"):
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        added = {}
+        if (beside := Path(path).with_suffix(".json")).exists():
+            added = {t["content"]: t["id"] for t in json.loads(beside.read_text(encoding="utf-8"))["added_tokens"]}
+        whole = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        return lambda text: whole.encode(text, allowed_special="all", disallowed_special=())
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 

@@ -179,3 +179,13 @@ def test_a_tone_gives_its_bin():
     assert Counter(bins.tolist()).most_common(1)[0][0] == 1000 * media.WINDOW // media.RATE
     times, hashes = media.pair_fingerprints(tone)
     assert (np.diff(times) >= 0).all() and len(set(hashes.tolist())) < len(hashes)
+
+
+def test_added_tokens_have_the_ids_of_an_untouched_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain, fast = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(packing.fast_vocabulary())
+    for t in ["<|endoftext|>", "a<|endoftext|> b", " <|endoftext|><|endoftext|>\n", "<|endoftext", *(words(i, 50) + "<|endoftext|>" * (i % 3) + words(i + 1, 9) for i in range(9))]:
+        assert fast(t) == plain.encode(t, add_special_tokens=False).ids
+    assert fast("<|endoftext|>") == [50256]
