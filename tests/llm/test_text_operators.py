@@ -41,6 +41,62 @@ def test_pages_table(spark, tmp_path):
     assert html_text.extract_text(wide.limit(0)).count() == 0
 
 
+ARTICLE = "<p>" + "word " * 60 + "</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f'<svg width="1"/>{ARTICLE}', f'<p class="notice">Note{ARTICLE}', f'<p class="ad">Note{ARTICLE}', f'<div class="has-sidebar">{ARTICLE}<div class="sidebar">{"side " * 40}</div></div>',
+    f'<div class="with-footer">{ARTICLE}</div>', f'<div id="sidebarLayout"><div class="col">{ARTICLE}<nav>a b c</nav></div></div>', f'<form action="/">{ARTICLE}</form>', f'<article>{ARTICLE}<div class="toc">contents</div></article>',
+    f'<iframe src=x>{ARTICLE}', f'<article><title>{ARTICLE}</article>', f'<div data-id="nav">{ARTICLE}</div>', f'<ul><li class="menu">one<li class="menu">two</ul>{ARTICLE}',
+    *(f'<nav data-x="{"y" * n}>">{"menu " * 60}</nav><div class="sidebar" title=\'{"y" * n}>\'>{"side " * 60}</div>{ARTICLE}' for n in (40, 3_999, 4_001, 90_000)),
+])
+def test_nothing_of_an_article_is_lost_and_nothing_else_kept(page):
+    assert html_text.main_text(page) == ("word " * 60).strip()
+
+
+def test_surge_and_dive_decide_in_articles_too():
+    links = "".join(f"<li><a href=x>link {i}</a></li>" for i in range(4))
+    page = f"<article><h1>T</h1><p>by</p><p>May</p><p>cap</p>{ARTICLE}<ul>{links}</ul><p>Share</p></article>"
+    assert html_text.main_text(page) == "T by May cap " + ("word " * 60).strip()
+    assert html_text.main_text(f"<article><p>card</p></article><div>{ARTICLE}</div>") == ("word " * 60).strip()
+    assert html_text.main_text(f"<article><p>short</p></article><div>{'x ' * 30}</div>") == "short"
+    again = f"<article>{ARTICLE}<ul>{links}</ul>{ARTICLE}</article>"
+    assert html_text.main_text(again).count("word") == 120 and "link" not in html_text.main_text(again)
+    assert "link" in html_text.main_text(f"<article>{ARTICLE}<li><a>link</a></li>{ARTICLE}</article>")
+
+
+def blocks_by_hand(lengths, least):
+    """The kept lines by definition: those with text from a surge on, up to the first window without text."""
+    sums = [sum(lengths[i : i + html_text.WINDOW]) for i in range(len(lengths))]
+    least, out, inside = min(least, max(sums, default=0)), [], False
+    for i, n in enumerate(lengths):
+        inside = sums[i] > 0 if inside else n > 0 and sums[i] >= least
+        out += [i] if inside and n else []
+    return out
+
+
+def test_pages_equal_a_brute_force_of_line_blocks():
+    r = random.Random(12)
+    for _ in range(300):
+        rows, blocks = [], []
+        for k in range(r.randint(0, 25)):
+            text = words(r.randrange(10**6), r.choice((1, 2, 8, 25)))
+            kind = r.choice(("text", "text", "link", "ad"))
+            rows.append((text, 0 if kind != "text" else len(text)))
+            blocks.append({"text": f"<p>{text}", "link": f"<li><a href='/{k}'>{text}</a></li>", "ad": f"<div class='ad-{k}'>{text}</div>"}[kind])
+        kept = blocks_by_hand([n for _, n in rows], html_text.SURGE)
+        assert html_text.main_text("".join(blocks)) == " ".join(rows[i][0] for i in kept)
+
+
+def test_time_grows_with_the_page_only():
+    import time
+
+    for page in ('<a "', "<title>", "<p class='", "<div>", "<!-- ", "<li>", "<", "<div class=ad>", "<svg/", "</p>", "<script>"):
+        began = time.perf_counter()
+        html_text.main_text(page * 20_000)
+        assert time.perf_counter() - began < 5
+
+
 def quality_by_hand(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
