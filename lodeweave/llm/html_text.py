@@ -259,7 +259,7 @@ def extract_text(pages: DataFrame, page: str = "html") -> DataFrame:
     space inside a line becomes one space, and lines are joined by one space. Columns of `pages` that are named text or
     n_chars are replaced.
     """
-    small_batches(pages.sparkSession, 256)
+    small_batches(pages.sparkSession)
     keep = [f for f in pages.schema if f.name not in (page, "text", "n_chars")]
     names = [f.name for f in keep]
 

@@ -54,7 +54,8 @@ def from_wav(media: bytes) -> bytes:
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(frame, bin) of the peaks, in order of frame, then bin."""
     x = samples.astype(np.float32) - 128.0
-    x = np.concatenate([x, np.zeros(max(0, WINDOW - len(x)), np.float32)])
+    # silence up to a whole last frame, so that every sample lies in a frame
+    x = np.concatenate([x, np.zeros(max(WINDOW - len(x), -(len(x) - WINDOW) % HOP), np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP]
     window = np.hanning(WINDOW).astype(np.float32)
     at, bins = [], []
@@ -88,11 +89,12 @@ def media_columns(docs: DataFrame, rid: str = "doc_id", text: str = "text", keep
     """(rid, n_bytes, media, times, hashes, and digests of what is read back) of every row's whole UTF-8 text.
 
     A null text is empty and has a payload of one unit. The fingerprint arrays are time-coded: times[i] is the frame of
-    the pair hashes[i]; they are empty where no peak stands out. keep_media=False leaves out the WAV bytes and the
-    arrays, for callers that need only the digests.
+    the pair hashes[i]; they are empty where no peak stands out. Repeated rows and null ids are kept, equal texts have
+    equal values, and no rows give no rows. keep_media=False leaves out the WAV bytes, for callers that need only the
+    digests and the fingerprints.
     """
-    small_batches(docs.sparkSession, 256)
-    extra = [("media", pa.binary()), ("times", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int32()))] if keep_media else []
+    small_batches(docs.sparkSession)
+    extra = [("times", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int32())), *([("media", pa.binary())] if keep_media else [])]
     names = ["rid", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_pairs", "feature_sha256", *[k for k, _ in extra]]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), *[t for _, t in extra]]
 
@@ -103,7 +105,7 @@ def media_columns(docs: DataFrame, rid: str = "doc_id", text: str = "text", keep
         times, hashes = pair_fingerprints(np.frombuffer(payload, np.uint8))
         feature = hashlib.sha256(times.astype("<i4").tobytes() + hashes.astype("<i4").tobytes()).hexdigest()
         digests = (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), len(times), feature)
-        return (*digests, media, times, hashes) if keep_media else digests
+        return (*digests, times, hashes, *([media] if keep_media else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +113,7 @@ def media_columns(docs: DataFrame, rid: str = "doc_id", text: str = "text", keep
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types[1:], strict=True)]], names)
 
     schema = "rid bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, n_pairs bigint, feature_sha256 string"
-    schema += ", media binary, times array<int>, hashes array<int>" if keep_media else ""
+    schema += ", times array<int>, hashes array<int>" + (", media binary" if keep_media else "")
     return docs.select(F.col(rid).cast("bigint").alias("rid"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
@@ -119,4 +121,4 @@ def op10_media(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     digests = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
     feature = F.concat_ws(":", F.col("n_pairs").cast("string"), "feature_sha256").alias("feature")
-    return media_columns(docs, keep_media=False).select(F.col("rid").alias("doc_id"), *digests, feature)
+    return media_columns(docs, keep_media=False).select(F.col("rid").alias("doc_id"), *digests, feature, "times", "hashes")

@@ -9,15 +9,17 @@ trees and the calibration are fitted by two folds, so that each fold's features
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, Isotonic, sigmoid
@@ -25,8 +27,8 @@ from .common import small_batches
 
 #: Labelled rows that the model is fitted on, at most: those of the least hashes of their ids.
 MAX_LABELLED = 8000
-#: Entries of the learnt lexicon at most, the strongest first; the labelled texts themselves are read whole.
-MAX_LEXICON = 20_000
+#: Their bytes at most, in the same order; a text that is taken is taken whole.
+MAX_LABELLED_BYTES = 256 << 20
 #: Insults, second-person words, and letters that symbols stand for.
 INSULTS = frozenset("idiot idiots idiotic moron morons moronic stupid dumb loser losers trash scum pathetic worthless disgusting clown clowns fool fools jerk imbecile garbage filth vermin hate ugly crap".split())
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -38,6 +40,12 @@ NEAR, SPAN = 6, 20
 FEATURES = 22
 
 
+@cache
+def capitals() -> np.ndarray:
+    """Which code points are capitals."""
+    return np.array([chr(i).isupper() for i in range(0x110000)])
+
+
 def plain(word: str) -> str:
     return word.lower().strip(EDGES)
 
@@ -67,7 +75,7 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray) -> dict[str, float]:
         odds = math.log((c + 0.1) / (n1 + 0.2)) - math.log((seen[0][e] + 0.1 + 0.5) / (n0 + 0.7))
         if c >= 3 and odds > 2.5 and (not e.endswith("*") or kinds[e] >= 3):
             out[e] = round(odds * c / (c + 2), 3)
-    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:MAX_LEXICON])
+    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0])))
 
 
 class Words:
@@ -129,7 +137,7 @@ def features(text: str, words: Words) -> list[float]:
     else:
         near = nearest = 0.0
     chars = len(text)
-    upper = sum(map(str.isupper, text)) if chars < 2000 else len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
+    upper = int(capitals()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].sum())
     count = text.count
     return [
         math.log1p(n), len(hits) / n, math.log1p(len(hits)), strength.sum() / n, strong[0] if len(strong) else 0.0, strong[:3].sum(), strong[:8].sum(),
@@ -179,18 +187,32 @@ def crc_rest(doc_id, parts: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % parts
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> ToxicityModel:
-    """Fit on up to `most` labelled rows outside the held-out part (crc32 of the id mod 3 is 1)."""
+def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, most_bytes: int = MAX_LABELLED_BYTES) -> ToxicityModel:
+    """Fit, in one executor task, on up to `most` labelled rows of up to `most_bytes` together, outside the held-out part
+    (crc32 of the id mod 3 is 1). Rows without a label or an id are no labelled rows; a row labelled twice is toxic if one
+    label says so; a repeated row counts once. Only the model comes to the driver."""
+    small_batches(docs.sparkSession)
     usable = labels.where("toxic is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `most` rows of two numbers
-    rows = {(r.doc_id, r.text or ""): r.toxic for r in texts.toLocalIterator()}
-    ordered = sorted(rows)
-    return fit([t for _, t in ordered], np.array([rows[k] > 0 for k in ordered]))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # `most` rows of two numbers
+    by_hash = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)  # of `most` rows
+    within = texts.withColumn("upto", F.sum(F.octet_length("text")).over(by_hash)).where(F.col("upto") <= most_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = {}
+        for batch in batches:
+            rows |= zip(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), strict=True), batch.column("toxic").to_pylist(), strict=True)
+        ordered = sorted(rows)
+        model = fit([t for _, t in ordered], np.array([rows[k] > 0 for k in ordered]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    row = within.select("doc_id", "text", "toxic").repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(row.model) if row else fit([], np.zeros(0))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, rid: str = "doc_id", text: str = "text") -> DataFrame:
-    """(rid, score, predicted) of every row. Null and empty texts have the features of an empty text."""
+    """(rid, score, predicted) of every row, repeats included and null ids kept. Null and empty texts have the features of an
+    empty text; long ones are read whole; equal texts have equal scores. No rows give no rows."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

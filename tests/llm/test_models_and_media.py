@@ -172,6 +172,41 @@ def test_media_round_trip(spark, folder, odd_docs):
         assert (w.getsampwidth(), w.getnchannels()) == (1, 1)
 
 
+def test_every_sample_lies_in_a_frame():
+    rng = np.random.default_rng(3)
+    for n in (576, 1152, 5760):
+        x = rng.integers(0, 256, n, dtype=np.uint8)
+        y = x.copy()
+        y[-58:] = (255 * (np.arange(58) % 2)).astype(np.uint8)
+        assert [a.tolist() for a in media.pair_fingerprints(x)] != [a.tolist() for a in media.pair_fingerprints(y)]
+
+
+def peaks_by_hand(x):
+    """The same by definition, frame by frame with a plain Fourier sum."""
+    x = [int(v) - 128.0 for v in x]
+    out, at = [], 0
+    while True:
+        frame = np.array((x[at * media.HOP :] + [0.0] * media.WINDOW)[: media.WINDOW]) * np.hanning(media.WINDOW)
+        k = np.arange(media.WINDOW // 2 + 1)
+        magnitude = np.abs(np.exp(-2j * np.pi * k[:, None] * np.arange(media.WINDOW) / media.WINDOW) @ frame)
+        for lo, hi in zip(media.BANDS, media.BANDS[1:], strict=False):
+            best = lo + int(np.argmax(magnitude[lo:hi]))
+            if magnitude[best] > media.PROMINENCE * magnitude[media.BANDS[0] :].mean():
+                out.append((at, best))
+        if at * media.HOP + media.WINDOW >= len(x):
+            return out
+        at += 1
+
+
+def test_pairs_equal_brute_force():
+    for seed in range(3):
+        data = media.pad(words(seed, 300).encode())
+        found = peaks_by_hand(data)
+        want = sorted((a, p << 13 | q << 4 | b - a) for a, p in found for b, q in found if a < b <= a + media.AHEAD)
+        times, hashes = media.pair_fingerprints(np.frombuffer(data, np.uint8))
+        assert list(zip(times.tolist(), hashes.tolist(), strict=True)) == want and want
+
+
 def test_a_tone_gives_its_bin():
     t = np.arange(8000)
     tone = (128 + 100 * np.sin(2 * np.pi * 1000 / media.RATE * t)).astype(np.uint8)

@@ -338,4 +338,31 @@ def test_whole_secrets_without_digits_and_inside_values(spark):
     assert [clean[i] for i in (6, 7, 8)] == texts[6:]
     found = {(x.rid, x.start, x.length) for x in secrets.scan(df, forest).where("is_secret").collect()}
     assert {(0, 8, 900), (1, 9, len(gone[1])), (3, texts[3].index(inner), 40), (4, 4, 20)} <= found
+    for n in (7, 511, 512, 513, 5_000):  # no length is cut
+        assert [(f.start, f.length) for f in secrets.candidates(f"token = '{pick(n + 1)}'")] == [(9, n + 1)]
     assert len(secrets.candidates("a:" * 50_000)) > 1 and len(secrets.candidates("x" * 200_000)) == 1
+
+
+def test_key_blocks_with_and_without_an_end():
+    body = "\n".join("QUJD" * 16 for _ in range(3))
+    pgp = f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1\n\n{body}\n=abcd\n-----END PGP PRIVATE KEY BLOCK-----"
+    cut = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}\nQUI="
+    for block in (pgp, cut, cut.replace("\n\n", " ").replace("\n", " ").replace("Proc-Type: 4,ENCRYPTED ", ""), "-----BEGIN PRIVATE KEY-----\\n" + "QUJD" * 20):
+        text = f"before {block}\nand the story goes on here"
+        (start, stop), *rest = secrets.key_blocks(text)
+        assert not rest and start == 7 and len(block) - 5 <= stop - start <= len(block)
+    assert len(secrets.key_blocks(f"{cut}\nsome words {pgp}")) == 2
+
+
+def test_capitals_count_alike_at_every_length():
+    at = toxicity.FEATURES - 4
+    rates = [toxicity.features("ПРИВЕТ Ÿ Œ мир " * k, toxicity.Words({}))[at] for k in (1, 100, 200, 2_000)]
+    assert rates[0] > 0.5 and max(rates) - min(rates) < 1e-9
+
+
+def test_training_sample_is_bounded_by_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(i, words(i, 30) + (" idiot scum" if i % 2 else "")) for i in range(80)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id bigint, toxic int")
+    assert toxicity.train(docs, labels).trees is not None
+    assert toxicity.train(docs, labels, most_bytes=1_000).trees is None and toxicity.train(docs, labels, most=10).trees is None
+    assert toxicity.train(docs.limit(0), labels.limit(0)).rate == 0
