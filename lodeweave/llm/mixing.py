@@ -15,7 +15,7 @@ from .common import cut, md5_key
 from .quality_rules import words_of
 
 #: The order of an epoch is split by its top bits, so that no task sorts a whole leaf.
-ORDER_BITS, BUCKET_BITS = 60, 10
+ORDER_BITS, MOST_BUCKET_BITS = 60, 24
 WIDE = "decimal(38,0)"
 
 
@@ -68,29 +68,35 @@ def order_key(seed: int, epoch: Column, rid: Column) -> Column:
 def mix(rows: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], parts: tuple[int, int], max_epochs: int = 2, seed: int = 17) -> DataFrame:
     """(rid, levels, tokens, epoch): one row for each time that a document is taken; rows: (rid, levels, tokens).
 
-    A null level counts as a node named by the empty string. Rows that repeat a rid in a leaf are one document with the
-    sum of their tokens. Documents without tokens cost nothing and come with every epoch of their leaf. A leaf or the
-    whole table without tokens, and an empty table, give no rows. The leaf table has a row per leaf; documents meet it
-    by a join that may be dealt out by leaf, whose large partitions can be split.
+    A null level counts as a node named by the empty string; levels may have any names but rid, tokens and epoch. Rows that
+    repeat a rid in a leaf are one document with the sum of their tokens; a null rid is a rid. Documents without tokens
+    cost nothing and come with every epoch of their leaf. A leaf or the whole table without tokens, and an empty table,
+    give no rows. The leaf table has a row per leaf; documents meet it by a join that may be dealt out by leaf, whose
+    large partitions can be split. A leaf's last epoch is cut by prefix sums over buckets of its order, about 65,000
+    documents each, and documents are sorted only in the bucket where it ends.
     """
-    named = rows.select("rid", *[F.coalesce(c, F.lit("")).alias(c) for c in levels], F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))
-    docs = cut(named.groupBy("rid", *levels).agg(F.sum("tokens").alias("tokens")))
-    leaves = cut(docs.groupBy(*levels).agg(F.sum("tokens").alias("leaf_tokens")).where("leaf_tokens > 0"))
-    budgets = leaf_budgets(leaves.withColumnRenamed("leaf_tokens", "tokens"), levels, weights, parts, max_epochs).select(
-        *levels, F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("epochs"), (F.col("budget") % F.col("tokens")).alias("rest")
+    own = [f"level_{i}" for i in range(len(levels))]
+    own_weights = {o: weights[c] for o, c in zip(own, levels, strict=True) if c in weights}
+    named = rows.select("rid", *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(o) for o, c in zip(own, levels, strict=True)], F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))
+    docs = cut(named.groupBy("rid", *own).agg(F.sum("tokens").alias("tokens")))
+    bits = min(MOST_BUCKET_BITS, max(4, (docs.count() >> 16).bit_length()))
+    leaves = cut(docs.groupBy(*own).agg(F.sum("tokens").alias("leaf_tokens")).where("leaf_tokens > 0"))
+    budgets = leaf_budgets(leaves.withColumnRenamed("leaf_tokens", "tokens"), own, own_weights, parts, max_epochs).select(
+        *own, F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("epochs"), (F.col("budget") % F.col("tokens")).alias("rest")
     )
     budgets = cut(budgets)
     at = order_key(seed, F.col("epochs"), F.col("rid"))
-    keyed = docs.join(budgets, levels).withColumn("at", at).withColumn("bucket", F.shiftright("at", ORDER_BITS - BUCKET_BITS).cast("int"))
-    before = Window.partitionBy(*levels).orderBy("bucket")
-    buckets = keyed.groupBy(*levels, "bucket").agg(F.sum("tokens").alias("bucket_tokens")).withColumn("upto", F.sum("bucket_tokens").over(before))
-    met = keyed.join(buckets, [*levels, "bucket"])
-    inside = Window.partitionBy(*levels, "bucket").orderBy("at", "rid").rowsBetween(Window.unboundedPreceding, 0)
-    whole = met.where("upto <= rest").withColumn("taken", F.col("epochs") + 1)
-    edge = met.where("upto > rest and upto - bucket_tokens <= rest").withColumn("taken", F.when(F.col("upto") - F.col("bucket_tokens") + F.sum("tokens").over(inside) <= F.col("rest"), F.col("epochs") + 1).otherwise(F.col("epochs")))
-    later = met.where("upto > rest and upto - bucket_tokens > rest").withColumn("taken", F.col("epochs"))
-    taken = whole.unionByName(edge).unionByName(later).where("taken > 0")
-    return taken.select("rid", *levels, "tokens", F.explode(F.sequence(F.lit(0), F.col("taken") - 1)).alias("epoch"))
+    keyed = docs.join(budgets, own).withColumn("at", at).withColumn("bucket", F.shiftright("at", ORDER_BITS - bits).cast("int"))
+    before = Window.partitionBy(*own).orderBy("bucket")
+    buckets = keyed.groupBy(*own, "bucket").agg(F.sum("tokens").alias("bucket_tokens")).withColumn("upto", F.sum("bucket_tokens").over(before))
+    met = keyed.join(buckets, [*own, "bucket"]).withColumn("lead", F.col("upto") - F.col("bucket_tokens"))
+    inside = Window.partitionBy(*own, "bucket").orderBy("at", "rid").rowsBetween(Window.unboundedPreceding, 0)
+    is_edge = (F.col("upto") > F.col("rest")) & (F.col("lead") <= F.col("rest"))
+    one_more = lambda yes: F.col("epochs") + F.when(yes, 1).otherwise(0)
+    plain = met.where(~is_edge).withColumn("taken", one_more(F.col("upto") <= F.col("rest")))
+    edge = met.where(is_edge).withColumn("taken", one_more(F.col("lead") + F.sum("tokens").over(inside) <= F.col("rest")))
+    taken = plain.unionByName(edge).where("taken > 0")
+    return taken.select("rid", *[F.col(o).alias(c) for o, c in zip(own, levels, strict=True)], "tokens", F.explode(F.sequence(F.lit(0), F.col("taken") - 1)).alias("epoch"))
 
 
 #: The tree of the table `documents`: a domain derived from the source, language, source. Names not listed weigh 1.

@@ -30,13 +30,34 @@ def test_a_hot_key_is_split_by_exact_bytes(spark):
     assert len(sizes) == 10 and max(sizes) - min(sizes) <= 2 * 60
 
 
+def test_copies_stay_together_and_shards_near_equal(spark):
+    rows = [(i, words(i % 700 if i < 2000 else i, 3 + i % 9)) for i in range(6000)] + [(9000 + i, "a hot text " * 3) for i in range(3000)] + [(None, "no id")] * 400
+    df = spark.createDataFrame(rows, "id bigint, t string")
+    out = sharding.shard_by_size(df, 12, F.octet_length("t") + 8, F.col("t"), F.col("id"), {"id": F.col("id"), "t": F.col("t")}, range_bytes=4096).collect()
+    assert len(out) == len(rows)
+    sizes, groups, slots = defaultdict(int), defaultdict(set), defaultdict(list)
+    for r in out:
+        sizes[r.shard] += r.size
+        groups[r.t].add(r.shard)
+        slots[r.shard].append(r.slot)
+    assert len(sizes) == 12 and max(sizes.values()) - min(sizes.values()) <= 0.02 * sum(sizes.values()) / 12
+    assert {t for t, s in groups.items() if len(s) > 1} == {"a hot text " * 3}
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_groups_are_dealt_to_the_emptiest_shard_that_holds_them():
+    assert sharding.deal_groups([(5, 1), (4, 2), (3, 3), (2, 4)], 2, 7) == ({1: 0, 2: 1, 3: 1, 4: 0}, [7, 7])
+    assert sharding.deal_groups([(8, 1), (7, 2)], 2, 7) == ({2: 0}, [7, 0])
+    assert sharding.deal_groups([], 2, 0) == ({}, [0, 0])
+
+
 def test_range_search_and_subdivision(spark):
-    bounds = [(1, 5), (1, 9), (4, 0)]
-    rows = [(0, 7), (1, 4), (1, 5), (1, 8), (1, 9), (3, 0), (4, 0), (9, 9)]
-    df = spark.createDataFrame(rows, "k bigint, r bigint").withColumn("x", sharding.range_of(F.col("k"), F.col("r"), bounds))
-    assert [(r.k, r.r, r.x) for r in df.collect()] == [(k, r, sum(b <= (k, r) for b in bounds)) for k, r in rows]
-    finer = sharding.subdivide([(5, 0)], {0: 10, 1: 100}, [(i, 0) for i in range(10)], 30)
-    assert finer[0] == (5, 0) and len(finer) == 4
+    bounds = [(1, 5, 0), (1, 5, 3), (1, 9, 0), (4, 0, 0)]
+    rows = [(0, 7, 0), (1, 4, 0), (1, 5, 0), (1, 5, 2), (1, 5, 3), (1, 8, 0), (1, 9, 0), (3, 0, 0), (4, 0, 0), (9, 9, 9)]
+    df = spark.createDataFrame(rows, "k bigint, r bigint, c bigint").withColumn("x", sharding.range_of([F.col("k"), F.col("r"), F.col("c")], bounds))
+    assert [tuple(r) for r in df.collect()] == [(*p, sum(b <= p for b in bounds)) for p in rows]
+    finer = sharding.subdivide([(5, 0, 0)], {0: 10, 1: 100}, [(i, 0, 0) for i in range(10)], 30)
+    assert finer[0] == (5, 0, 0) and len(finer) == 4
 
 
 def test_no_rows(spark, empty_folder):
@@ -84,3 +105,12 @@ def test_mix_of_odd_rows(spark, odd_docs):
     out = mixing.mix_documents(wide, (1, 1))
     assert out.columns == wide.columns
     assert 0 < out.count() <= 2 * 13
+
+
+def test_levels_may_have_any_names(spark):
+    names = ["at", "bucket", "upto", "epochs", "rest", "budget", "cap", "weight", "root"]
+    plain = spark.createDataFrame([(i, f"a{i % 2}", f"b{i % 3}", 5 + i % 7) for i in range(200)], "rid bigint, x string, y string, tokens bigint")
+    want = sorted(tuple(r) for r in mixing.mix(plain, ["x", "y"], {"x": {"a0": 3}}, (1, 2)).collect())
+    for a, b in zip(names, names[1:], strict=False):
+        out = mixing.mix(plain.withColumnsRenamed({"x": a, "y": b}), [a, b], {a: {"a0": 3}}, (1, 2))
+        assert out.columns == ["rid", a, b, "tokens", "epoch"] and sorted(tuple(r) for r in out.collect()) == want
