@@ -1,6 +1,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -101,7 +102,7 @@ def quality_by_hand(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-    many = {x for x in tri if tri.count(x) > 1} if len(tri) < 2000 else set()
+    many = {x for x, n in Counter(tri).items() if n > 1}
     lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len({i + k for i, x in enumerate(tri) if x in many for k in range(3)})
 
@@ -110,6 +111,7 @@ def test_quality_counts_equal_brute_force(spark, tmp_path):
     r = random.Random(1)
     texts = [None, "", " \n\t", "a", "a b", "a b c a b c", "x\x0by\x0cz", "l\nl\n \n\nl", "#a|b<>", "é ü", "a a a a a"]
     texts += [" ".join(r.choice("abcd") for _ in range(r.randint(1, 90))) + "\n" * r.randint(0, 3) for _ in range(60)]
+    texts += [" ".join(r.choice("abcdefghijklm") for _ in range(5_000)), "x y z " * 3_000, f"{words(1, 4_000)} {words(1, 40)}"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     for row in quality_rules.op7_quality_rules(spark, str(tmp_path)).collect():
         n, chars, symbols, lines, repeats = quality_by_hand(texts[row.doc_id])
@@ -119,10 +121,22 @@ def test_quality_counts_equal_brute_force(spark, tmp_path):
 
 def test_cascade_order_changes_no_verdict(spark, odd_docs, no_docs):
     names = list(quality_rules.RULES)
-    kept = [sorted(str(r.doc_id) for r in odd_docs.where(quality_rules.cascade(F.coalesce("text", F.lit("")), quality_rules.RULES, order).isNull()).collect()) for order in (names, names[::-1])]
+    kept = [sorted(str(r.doc_id) for r in odd_docs.where(quality_rules.over(F.col("text"), lambda f, o=order: quality_rules.cascade(f, quality_rules.RULES, o)).isNull()).collect()) for order in (names, names[::-1])]
     assert kept[0] == kept[1] == sorted(str(r.doc_id) for r in quality_rules.quality_filter(odd_docs).collect())
     assert quality_rules.order_rules({"a": (1.0, 0.1), "b": (0.1, 0.1), "c": (0.1, 0.0)}) == ["b", "a", "c"]
     assert quality_rules.quality_filter(no_docs).count() == 0
+    wide = odd_docs.selectExpr("*", "1 as t", "'x' as c", "2 as words", "3 as n")
+    assert quality_rules.quality_filter(wide).columns == wide.columns
+
+
+def test_the_sample_is_random_and_reads_few_files(spark, tmp_path):
+    rows = [(i, words(i, 60) if i < 5_000 else "few") for i in range(10_000)]  # an ordered table
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartitionByRange(40, "doc_id").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    assert 0.2 < quality_rules.measure(docs, "text", {"few_words": quality_rules.RULES["few_words"]}, tries=1)["few_words"][1] < 0.8
+    few = quality_rules.few_files(docs, 5)
+    assert len({r.f for r in few.select(F.input_file_name().alias("f")).collect()}) == 5
+    assert quality_rules.few_files(docs.select(F.upper("text").alias("t")), 5).count() < 5_000
 
 
 def test_golay_keys_join_all_words_within_two_bits():
