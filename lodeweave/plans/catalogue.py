@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fingerprints import FLOOR, finding_id, grams, winnow
@@ -210,12 +210,12 @@ def _implicit_inputs(spark, sf_dir):
     return symbols, stated.unionByName(wild)
 
 
-def live_colors(spark, sf_dir, where: str = "true", roots: DataFrame | None = None) -> DataFrame:
+def live_colors(spark, sf_dir) -> DataFrame:
     """Colours of symbols and files, over stated edges and module loads."""
     symbols = P.part_symbols(spark, sf_dir)
     load = symbols.select(F.col("sym").alias("src"), F.col("path").alias("dst"), F.lit(2).alias("confidence"))
     nodes = symbols.select(F.col("sym").alias("node")).union(symbols.select("path"))
-    return cut(graph.colors(nodes, graph.widest_paths(P.part_edges(spark, sf_dir).where(where).union(load), P.part_roots(spark, sf_dir) if roots is None else roots)))
+    return cut(graph.colors(nodes, graph.widest_paths(P.part_edges(spark, sf_dir).union(load), P.part_roots(spark, sf_dir))))
 
 
 _LIVE = f"""WITH RECURSIVE {P.PART_EDGES}, {P.PART_ROOTS}, {P.PART_SYMBOLS}, {P.PART_FILES},
@@ -233,20 +233,16 @@ def unused_symbols(spark, sf_dir):
     return analyses.unused_symbols(P.part_symbols(spark, sf_dir), live_colors(spark, sf_dir), P.part_files(spark, sf_dir), served)
 
 
-_FEW = "p_partkey % 300 < 50"
-
-
 @query(
-    _LIVE.replace("WHERE p_partkey % 50 < 3", f"WHERE p_partkey % 50 < 3 AND {_FEW}").replace("confidence FROM edges UNION", "confidence FROM edges WHERE confidence = 2 UNION")
-    + """ SELECT f.path FROM files f JOIN colors c ON c.node = f.path
-WHERE language IS NOT NULL AND color = 'unreachable' AND origin = 'authored' AND (CAST(substr(f.path, 3) AS BIGINT) % 3 > 0
-      OR unit NOT IN (SELECT g.unit FROM files g JOIN colors k ON k.node = g.path WHERE g.language IS NOT NULL AND k.color <> 'unreachable'))"""
+    _PART
+    + """, files AS (SELECT 'p:' || p_partkey AS path, p_partkey % 17 <> 0 AS claimed, p_partkey % 11 <> 0 AS authored, p_partkey // 5 AS unit, p_partkey % 3 > 0 AS declares FROM part)
+SELECT f.path FROM files f JOIN colors c ON c.node = f.path WHERE claimed AND color = 'unreachable' AND authored
+ AND (declares OR unit NOT IN (SELECT g.unit FROM files g JOIN colors k ON k.node = g.path WHERE g.claimed AND k.color <> 'unreachable'))"""
 )
 def unused_files(spark, sf_dir):
-    declaring = P.part_symbols(spark, sf_dir).where("cast(substring(path, 3) as bigint) % 3 > 0")
-    few = P.table(spark, sf_dir, "part").where(_FEW).select(P.tag("p:", "p_partkey").alias("node"))
-    roots = P.part_roots(spark, sf_dir).join(few, "node", "left_semi")
-    return analyses.unused_files(P.part_files(spark, sf_dir), live_colors(spark, sf_dir, "confidence = 2", roots), declaring)
+    k = F.col("p_partkey")
+    part = P.table(spark, sf_dir, "part").select(P.tag("p:", "p_partkey").alias("path"), F.when(k % 17 != 0, "lang").alias("language"), F.when(k % 11 == 0, "vendored").otherwise("authored").alias("origin"), F.floor(k / 5).alias("unit"), (k % 3 > 0).alias("declares"))
+    return analyses.unused_files(part.drop("declares"), cut(part_colors(spark, sf_dir)), part.where("declares"))
 
 
 @query(_LIVE + " SELECT s.sym AS node FROM symbols s JOIN files f USING (path) JOIN colors c ON c.node = s.sym WHERE role <> 'test' AND color = 'test-only' AND NOT in_tooling")
@@ -260,10 +256,10 @@ def untested_symbols(spark, sf_dir):
     return analyses.untested(P.part_symbols(spark, sf_dir).select(F.col("sym").alias("node"), F.col("implicitly_invoked").alias("values_only")), live_colors(spark, sf_dir))
 
 
-def _file_edges(spark, sf_dir, where: str = "true"):
+def _file_edges(spark, sf_dir):
     """Edges between files by kind: by the confidence of the part edges between them."""
     sym = P.part_symbols(spark, sf_dir)
-    met = P.part_edges(spark, sf_dir).where(where).join(sym.select(F.col("sym").alias("src"), F.col("path").alias("f")), "src").join(sym.select(F.col("sym").alias("dst"), F.col("path").alias("g")), "dst").where("f <> g")
+    met = P.part_edges(spark, sf_dir).join(sym.select(F.col("sym").alias("src"), F.col("path").alias("f")), "src").join(sym.select(F.col("sym").alias("dst"), F.col("path").alias("g")), "dst").where("f <> g")
     return met.select(F.when(F.col("confidence") == 0, "references-file").when(F.col("confidence") == 1, "imports-file").otherwise("invokes-file").alias("ekind"), F.col("f").alias("src"), F.col("g").alias("dst"), "confidence")
 
 
@@ -272,13 +268,10 @@ _FILE_EDGES = f"""{P.PART_SYMBOLS}, {P.PART_EDGES}, fe AS (
   FROM edges e JOIN symbols x ON x.sym = e.src JOIN symbols y ON y.sym = e.dst WHERE x.path <> y.path)"""
 
 
-_TENTH = "CAST(substr(src, 3) AS BIGINT) % 10 = 0"
-
-
-@query(f"WITH {_FILE_EDGES.replace('WHERE x.path', f'WHERE {_TENTH} AND x.path')} SELECT DISTINCT dst AS path FROM fe WHERE ekind = 'references-file' AND dst NOT IN (SELECT dst FROM fe WHERE ekind <> 'references-file') AND dst NOT IN (SELECT 'f:' || (p_partkey // 10) FROM part WHERE p_partkey % 50 = 0)")
+@query(f"WITH {P.PART_EDGES}, {P.PART_ROOTS} SELECT DISTINCT dst AS path FROM edges WHERE confidence = 0 AND dst NOT IN (SELECT dst FROM edges WHERE confidence > 0) AND dst NOT IN (SELECT node FROM roots)")
 def served_only_files(spark, sf_dir):
-    roots = P.table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.concat(F.lit("f:"), F.floor(F.col("p_partkey") / 10).cast("string")).alias("node"))
-    return analyses.served_only(_file_edges(spark, sf_dir, _TENTH), roots)
+    kind = F.when(F.col("confidence") == 0, "references-file").when(F.col("confidence") == 1, "imports-file").otherwise("invokes-file")
+    return analyses.served_only(P.part_edges(spark, sf_dir).select(kind.alias("ekind"), "dst"), P.part_roots(spark, sf_dir))
 
 
 @query(
@@ -311,34 +304,33 @@ def package_cycles(spark, sf_dir):
 
 
 _RUNGS = [("even", 0, 1, "unit", False), ("even", 1, 3, "package", False), ("even", 2, 4, "public", True), ("odd", 0, 0, "file", False), ("odd", 1, 1, "unit", False), ("odd", 2, 4, "public", True), ("odd", 3, 4, "open", True)]
-_SITES = "l_quantity >= 49 and l_partkey % 20 = 0"
 
 
 @query(
-    f"""WITH {P.lines_sql(_SITES)}, ladder(language, idx, scope) AS (VALUES {", ".join(f"('{a}', {b}, {c})" for a, b, c, *_ in _RUNGS)}),
-sites AS (SELECT l_suppkey, CASE WHEN c_nationkey = s_nationkey THEN 1 WHEN c_regionkey = s_regionkey THEN 3 ELSE 4 END AS scope, {P.FLAG.format("l_returnflag")} AS confidence FROM lines),
-needs AS (SELECT l_suppkey, max(CASE WHEN confidence >= 1 THEN scope END) AS firm, max(scope) AS widest FROM sites GROUP BY 1),
-r AS (SELECT s_suppkey, CASE s_suppkey % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS language, CASE s_suppkey % 2 WHEN 0 THEN 2 ELSE 3 END AS visibility,
-             greatest(coalesce(firm, 0), CASE WHEN s_suppkey % 5 = 0 THEN 2 ELSE 0 END) AS floor_, widest FROM supplier JOIN needs ON l_suppkey = s_suppkey),
-fit AS (SELECT s_suppkey, l.idx, l.scope FROM r JOIN ladder l ON l.language = r.language AND l.scope >= floor_ QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY l.idx) = 1)
-SELECT 's:' || r.s_suppkey AS sym, CAST(visibility AS INTEGER) AS declared, CAST(fit.idx AS INTEGER) AS tightest, CAST(CASE WHEN widest > floor_ THEN 0 ELSE 2 END AS INTEGER) AS confidence
-FROM r JOIN fit USING (s_suppkey) JOIN ladder d ON d.language = r.language AND d.idx = visibility WHERE fit.idx < visibility AND fit.scope < d.scope"""
+    f"""WITH {P.lines_sql("true")}, ladder(language, idx, scope) AS (VALUES {", ".join(f"('{a}', {b}, {c})" for a, b, c, *_ in _RUNGS)}),
+sites AS (SELECT l_orderkey, CASE WHEN c_nationkey = s_nationkey THEN 1 WHEN c_regionkey = s_regionkey THEN 3 ELSE 4 END AS scope, {P.FLAG.format("l_returnflag")} AS confidence FROM lines),
+needs AS (SELECT l_orderkey, max(CASE WHEN confidence >= 1 THEN scope END) AS firm, max(scope) AS widest FROM sites GROUP BY 1),
+r AS (SELECT o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS language, CASE o_orderkey % 2 WHEN 0 THEN 2 ELSE 3 END AS visibility,
+             greatest(coalesce(firm, 0), CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 0 END) AS floor_, widest FROM orders JOIN needs ON l_orderkey = o_orderkey),
+fit AS (SELECT o_orderkey, l.idx, l.scope FROM r JOIN ladder l ON l.language = r.language AND l.scope >= floor_ QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY l.idx) = 1)
+SELECT 'o:' || r.o_orderkey AS sym, CAST(visibility AS INTEGER) AS declared, CAST(fit.idx AS INTEGER) AS tightest, CAST(CASE WHEN widest > floor_ THEN 0 ELSE 2 END AS INTEGER) AS confidence
+FROM r JOIN fit USING (o_orderkey) JOIN ladder d ON d.language = r.language AND d.idx = visibility WHERE fit.idx < visibility AND fit.scope < d.scope"""
 )
 def internal_only(spark, sf_dir):
-    even = F.col("s_suppkey") % 2 == 0
-    symbols = P.table(spark, sf_dir, "supplier").select(P.tag("s:", "s_suppkey").alias("sym"), F.when(even, "even").otherwise("odd").alias("language"), F.when(even, 2).otherwise(3).alias("visibility"), (F.col("s_suppkey") % 5 == 0).alias("nested_scope"))
+    even = F.col("o_orderkey") % 2 == 0
+    symbols = P.table(spark, sf_dir, "orders").select(P.tag("o:", "o_orderkey").alias("sym"), F.when(even, "even").otherwise("odd").alias("language"), F.when(even, 2).otherwise(3).alias("visibility"), (F.col("o_orderkey") % 5 == 0).alias("nested_scope"))
     scope = F.when(F.col("c_nationkey") == F.col("s_nationkey"), 1).when(F.col("c_regionkey") == F.col("s_regionkey"), 3).otherwise(4)
-    sites = P.lines_with_origin(spark, sf_dir, _SITES).select(P.tag("s:", "l_suppkey").alias("sym"), scope.alias("scope"), P.flag_confidence("l_returnflag").alias("confidence"))
+    sites = P.lines_with_origin(spark, sf_dir, "true").select(P.tag("o:", "l_orderkey").alias("sym"), scope.alias("scope"), P.flag_confidence("l_returnflag").alias("confidence"))
     return analyses.internal_only(symbols, sites, spark.createDataFrame(_RUNGS, "language string, idx int, scope int, label string, surface_transitive boolean"))
 
 
 @query(
-    f"""WITH {P.lines_sql(_SITES)}, u AS (SELECT DISTINCT o_custkey, l_suppkey, c_nationkey, c_regionkey FROM lines WHERE l_returnflag = 'R' AND c_nationkey % 2 = s_nationkey % 2 AND l_linenumber BETWEEN 2 AND 5)
+    f"""WITH {P.lines_sql("true")}, u AS (SELECT DISTINCT o_custkey, l_suppkey, c_nationkey, c_regionkey FROM lines WHERE l_returnflag = 'R' AND c_nationkey % 2 = s_nationkey % 2 AND l_linenumber BETWEEN 2 AND 5)
 SELECT 'c:' || o_custkey AS decl, 's:' || l_suppkey AS leaked FROM u
 WHERE o_custkey % 5 <> 0 AND c_nationkey % 7 <> 0 AND least(4 - o_custkey % 3, 2 + c_nationkey % 3, 3) > l_suppkey % 4 + 0"""
 )
 def private_type_leak(spark, sf_dir):
-    lines = P.lines_with_origin(spark, sf_dir, _SITES)
+    lines = P.lines_with_origin(spark, sf_dir, "true")
     uses = lines.select(P.tag("c:", "o_custkey").alias("decl"), P.tag("s:", "l_suppkey").alias("type"), P.flag_confidence("l_returnflag").alias("confidence"), F.col("l_linenumber").alias("line"), F.lit(2).alias("signature_start"), F.lit(5).alias("signature_end"), (F.col("c_nationkey") % 2 == F.col("s_nationkey") % 2).alias("same_language"))
     none = F.lit(None).cast("string")
     customer = P.table(spark, sf_dir, "customer").select(P.tag("c:", "c_custkey").alias("sym"), P.tag("n:", "c_nationkey").alias("owner"), (F.col("c_custkey") % 5 != 0).alias("exported"), (4 - F.col("c_custkey") % 3).cast("int").alias("visibility"))
@@ -383,12 +375,11 @@ def package_ownership(spark, sf_dir):
 
 
 @query(
-    """WITH o AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0),
-t AS (SELECT DISTINCT l_orderkey AS ref, l_partkey AS target, CASE WHEN l_returnflag = 'R' AND l_quantity > 30 THEN 0 WHEN l_returnflag = 'A' THEN 1 ELSE 2 END AS k FROM lineitem JOIN o ON o_orderkey = l_orderkey)
+    """WITH t AS (SELECT DISTINCT l_orderkey AS ref, l_partkey AS target, CASE WHEN l_returnflag = 'R' AND l_quantity > 30 THEN 0 WHEN l_returnflag = 'A' THEN 1 ELSE 2 END AS k FROM lineitem)
 SELECT DISTINCT ref, target, CASE k WHEN 0 THEN 'qualifier' WHEN 1 THEN 'same-file' ELSE 'any' END AS tier FROM t QUALIFY k = min(k) OVER (PARTITION BY ref)"""
 )
 def ranked_resolution(spark, sf_dir):
-    lines = P.table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("ref"), F.col("l_partkey").alias("target"), "l_returnflag", "l_quantity")
+    lines = P.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ref"), F.col("l_partkey").alias("target"), "l_returnflag", "l_quantity")
     strict = (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 30)
     return assemble.ranked_resolution([("qualifier", lines.where(strict)), ("same-file", lines.where("l_returnflag = 'A'")), ("any", lines.where(~strict & (F.col("l_returnflag") != "A")))])
 
@@ -431,26 +422,28 @@ def capped_roots(spark, sf_dir):
 
 
 @query(
-    """WITH refs AS (SELECT o_orderkey AS ref, c_mktsegment AS name, c_nationkey % 3 AS language, c_custkey AS path, c_nationkey AS unit, n_regionkey AS package FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 50 = 0),
-members AS (SELECT c_custkey AS sym, c_mktsegment AS name, c_nationkey % 3 AS language, c_custkey AS path, c_nationkey AS unit, n_regionkey AS package, CASE c_custkey % 40 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 4 END AS scope FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 40 < 4)
+    """WITH c AS (SELECT c_custkey, c_mktsegment || '.' || c_custkey % 500 AS name, c_nationkey % 3 AS language, c_custkey AS path, c_nationkey AS unit, n_regionkey AS package FROM customer JOIN nation ON n_nationkey = c_nationkey),
+refs AS (SELECT o_orderkey AS ref, c.* FROM orders JOIN c ON c_custkey = o_custkey),
+members AS (SELECT c_custkey AS sym, name, language, path, unit, package, CASE c_custkey // 500 % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 4 END AS scope FROM c)
 SELECT r.ref, m.sym AS target, CAST(CASE WHEN count(*) OVER (PARTITION BY r.ref) = 1 THEN 1 ELSE 0 END AS INTEGER) AS confidence FROM refs r JOIN members m ON m.name = r.name AND m.language = r.language
 WHERE CASE m.scope WHEN 0 THEN m.path = r.path WHEN 1 THEN m.path = r.path OR m.unit = r.unit WHEN 3 THEN m.package = r.package ELSE true END"""
 )
 def duck_typed_members(spark, sf_dir):
     c = P.table(spark, sf_dir, "customer").join(P.table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-    c = c.select("c_custkey", F.col("c_mktsegment").alias("name"), (F.col("c_nationkey") % 3).alias("language"), F.col("c_custkey").alias("path"), F.col("c_nationkey").alias("unit"), F.col("n_regionkey").alias("package"))
-    refs = P.table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("ref"), F.col("o_custkey").alias("c_custkey")).join(c, "c_custkey").drop("c_custkey")
-    k = F.col("c_custkey") % 40
-    members = c.where(k < 4).withColumn("scope", F.when(k == 0, 0).when(k == 1, 1).when(k == 2, 3).otherwise(4)).withColumnRenamed("c_custkey", "sym")
+    name = F.concat_ws(".", "c_mktsegment", (F.col("c_custkey") % 500).cast("string"))
+    c = c.select("c_custkey", name.alias("name"), (F.col("c_nationkey") % 3).alias("language"), F.col("c_custkey").alias("path"), F.col("c_nationkey").alias("unit"), F.col("n_regionkey").alias("package"))
+    refs = P.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ref"), F.col("o_custkey").alias("c_custkey")).join(c, "c_custkey").drop("c_custkey")
+    k = F.floor(F.col("c_custkey") / 500) % 4
+    members = c.withColumn("scope", F.when(k == 0, 0).when(k == 1, 1).when(k == 2, 3).otherwise(4)).withColumnRenamed("c_custkey", "sym")
     return assemble.duck_typed(refs, members)
 
 
 @query(
-    """WITH RECURSIVE u AS (SELECT p_partkey AS unit, p_partkey // 3 AS parent FROM part WHERE p_partkey < 500), r AS (SELECT unit, unit AS ancestor FROM u UNION SELECT r.unit, u.parent FROM r JOIN u ON u.unit = r.ancestor WHERE u.parent <> u.unit)
+    """WITH RECURSIVE u AS (SELECT p_partkey AS unit, p_partkey // 3 AS parent FROM part), r AS (SELECT unit, unit AS ancestor FROM u UNION SELECT r.unit, u.parent FROM r JOIN u ON u.unit = r.ancestor WHERE u.parent <> u.unit)
 SELECT unit, ancestor FROM r"""
 )
 def unit_ancestry(spark, sf_dir):
-    units = P.table(spark, sf_dir, "part").where("p_partkey < 500").select(F.col("p_partkey").alias("unit"), F.floor(F.col("p_partkey") / 3).alias("parent"))
+    units = P.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit"), F.floor(F.col("p_partkey") / 3).alias("parent"))
     return assemble.unit_ancestry(units.withColumn("parent", F.when(F.col("parent") != F.col("unit"), F.col("parent"))))
 
 
@@ -460,16 +453,49 @@ def module_bindings(spark, sf_dir):
     return assemble.link_bindings(edges.select(F.col("src").alias("file"), F.concat(F.lit("b"), "dst").alias("name"), F.col("dst").alias("target")))
 
 
+#: What a page's import names, by page_id % 12: forms of the path of the page after it, members, modules and dependencies.
+_SPECIFIERS = [
+    "concat('/', next_path)", "concat('/', next_path)", "concat('/', next_path)", "concat('../../', next_path)", "concat('/', path, '/nowhere')", "concat('#', next_host)",
+    "next_host", "concat(next_host, '/', substring(next_path, length(next_host) + 2))", "concat('node:', next_host)", "'fs'", "concat('@lib/', cast(page_id % 5 as string), '/deep')", "concat('dep', cast(page_id % 5 as string))",
+]
+#: The file that a page is, by page_id % 12: its path with an ending, or an index file below it.
+_FILE_FORMS = ["path", "concat(path, '.ts')", "concat(path, '/index.js')", "concat(path, '.jsx')"]
+
+
+def _case(forms: list[str], key: str = "page_id") -> str:
+    return f"CASE {key} % {len(forms)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(forms)) + " END"
+
+
+_SCRIPTS = rf"""{P.PAGE_PATHS}, n AS (
+  SELECT page_id, path, regexp_extract(path, '^[^/]*') AS host, lead(path, 1, path) OVER (ORDER BY page_id) AS next_path FROM paths
+), s AS (
+  SELECT page_id, path, host, next_path, regexp_extract(next_path, '^[^/]*') AS next_host FROM n
+)"""
+
+
 @query(
-    rf"""WITH {P.PAGE_PATHS}, l AS (SELECT page_id, path, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS specifier FROM paths),
-d AS (SELECT DISTINCT path, specifier, CASE WHEN starts_with(specifier, '/') THEN 'missing' ELSE 'dependency' END AS r, split_part(specifier, '/', 1) AS name FROM l)
-SELECT path, specifier, r AS resolution, CASE WHEN r = 'dependency' THEN name END AS target FROM d"""
+    rf"""WITH {_SCRIPTS}, files AS (SELECT DISTINCT {_case(_FILE_FORMS)} AS file FROM s),
+members AS (SELECT host AS name, host AS dir, min(substr({_case(_FILE_FORMS)}, length(host) + 2)) AS entry FROM s WHERE page_id % 12 <> 5 GROUP BY 1, 2),
+l AS (SELECT page_id, path, {_case(_SPECIFIERS)} AS spec, next_path, page_id % 12 AS k FROM s),
+e AS (SELECT unnest(['', '.ts', '.tsx', '.mts', '.cts', '.js', '.jsx', '.mjs', '.cjs', '.d.ts', '/index.ts', '/index.tsx', '/index.mts', '/index.cts', '/index.js', '/index.jsx', '/index.mjs', '/index.cjs', '/index.d.ts']) AS ending, generate_subscripts(range(19), 1) AS nth),
+rooted AS (SELECT page_id, CASE WHEN k <= 2 THEN rtrim(next_path, '/') WHEN k = 3 AND len(string_split(path, '/')) = 3 THEN rtrim(next_path, '/') WHEN k = 4 THEN rtrim(path, '/') || '/nowhere' WHEN k = 7 AND members.name IS NOT NULL THEN rtrim(next_path, '/') END AS base
+           FROM l LEFT JOIN members ON name = regexp_extract(next_path, '^[^/]*')),
+hit AS (SELECT page_id, min_by(file, nth) AS file FROM rooted, e JOIN files ON file = base || ending GROUP BY 1
+        UNION ALL SELECT page_id, file FROM l JOIN members ON name = spec JOIN files ON file = dir || '/' || entry WHERE k = 6)
+SELECT path, spec AS specifier, r AS resolution, CASE WHEN r IN ('file', 'workspace-member') THEN file WHEN r = 'dependency' THEN CASE WHEN starts_with(spec, '@') THEN array_to_string(string_split(spec, '/')[1:2], '/') ELSE string_split(spec, '/')[1] END END AS target
+FROM (SELECT l.*, file, CASE WHEN k = 5 THEN 'unresolved' WHEN k IN (6, 7) AND file IS NOT NULL THEN 'workspace-member' WHEN file IS NOT NULL THEN 'file' WHEN k < 5 THEN 'missing' WHEN k IN (8, 9) THEN 'stdlib' ELSE 'dependency' END AS r FROM l LEFT JOIN hit USING (page_id))"""
 )
 def script_import_resolution(spark, sf_dir):
-    pages = P.table(spark, sf_dir, "pages").select(P.url_path(F.col("url")).alias("path"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("specifier"), F.lit("").alias("package")).distinct()
-    files = pages.select(F.concat(F.lit("host/"), "path").alias("path")).distinct()
-    none = spark.createDataFrame([], "name string, dir string, entry string")
-    return assemble.resolve_script_imports(pages, files, none, spark.createDataFrame([], "package string, name string"), ["fs", "path"]).select("path", "specifier", "resolution", "target")
+    host = F.regexp_extract("path", "^[^/]*", 0)
+    after = F.lead("path", 1).over(Window.orderBy("page_id"))  # the projection of the pages' order; the resolver itself has no global window
+    pages = P.table(spark, sf_dir, "pages").select("page_id", P.url_path(F.col("url")).alias("path")).withColumns({"host": host, "next_path": F.coalesce(after, "path")}).withColumn("next_host", F.regexp_extract("next_path", "^[^/]*", 0))
+    pages = cut(pages)
+    form = F.expr(_case(_FILE_FORMS))
+    files = pages.select(form.alias("path")).distinct()
+    members = pages.where("page_id % 12 <> 5").groupBy(F.col("host").alias("name"), F.col("host").alias("dir")).agg(F.min(F.expr(f"substring({_case(_FILE_FORMS)}, length(host) + 2)")).alias("entry"))
+    sites = pages.select("path", F.lit("app").alias("package"), F.expr(_case(_SPECIFIERS)).alias("specifier"))
+    declared = spark.createDataFrame([("app", "@lib/1"), ("app", "dep2"), ("other", "dep3")], "package string, name string")
+    return assemble.resolve_script_imports(sites, files, members, declared, ["fs", "path"]).select("path", "specifier", "resolution", "target")
 
 
 # metrics
