@@ -135,9 +135,9 @@ def clone_pairs(shapes: DataFrame, similarity: float = CLONE_SIMILARITY, most: i
     return both.withColumn("similarity", ratio).where(F.col("similarity") >= similarity).select("a", "b", "similarity")
 
 
-def clone_groups(pairs: DataFrame) -> DataFrame:
+def clone_groups(pairs: DataFrame, most_edges: int | None = None) -> DataFrame:
     """(anchor, member): connected clones; the least id is the canonical one."""
-    return components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("component").alias("anchor"), F.col("node").alias("member"))
+    return components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), most_edges).select(F.col("component").alias("anchor"), F.col("node").alias("member"))
 
 
 def disambiguate(rows: DataFrame, label: str, extra: str) -> DataFrame:
@@ -203,7 +203,7 @@ def deep_imports(imports: DataFrame, surface: DataFrame) -> DataFrame:
     return across.join(surface, ["provider", "target"], "left_anti").groupBy("consumer", "provider").agg(F.count("*").alias("n_sites"), F.max("confidence").alias("confidence"))
 
 
-def cycles(edges: DataFrame, small: bool = False) -> DataFrame:
+def cycles(edges: DataFrame, small: bool = False, most_edges: int | None = None) -> DataFrame:
     """(anchor, size, confidence) of each cycle group of the (src, dst, confidence) edges, parallel edges included.
 
     The anchor is the node with the most edges coming from inside the group, the least name among equals; confidence is
@@ -214,7 +214,7 @@ def cycles(edges: DataFrame, small: bool = False) -> DataFrame:
         mutual = paths.alias("a").join(paths.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).where("a.src <> a.dst")
         parts = mutual.groupBy(F.col("a.src").alias("node")).agg(F.least(F.col("node"), F.min("a.dst")).alias("component"))
     else:
-        parts = strong_components(edges)
+        parts = strong_components(edges, most_edges)
     parts = cut(parts)
     a, b = parts.select(F.col("node").alias("src"), F.col("component").alias("cs")), parts.select(F.col("node").alias("dst"), F.col("component").alias("cd"))
     inside = edges.where("src <> dst").join(a, "src").join(b, "dst").where("cs = cd")

@@ -17,25 +17,52 @@ from ..schema import COLORS, ROOT_KINDS
 from . import local_graph as local
 
 
-def widest_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+#: Steps along the edges that a round of a loop takes before its checkpoint.
+HOPS = 3
+
+
+def _spread(edges: DataFrame, start: DataFrame, keys: list[str], along: Column, worse, best, steps: int | None = None) -> DataFrame:
+    """(keys, value): the least fixpoint of `value` over the edges, `best` of all that arrive at a key.
+
+    start: (keys, value), one of the keys being `node`; along: the value at the end of an edge, of `value` and the edge's
+    columns; worse(a, b): a doesn't improve on b. What has improved is appended to a log, so a round writes its frontier only
+    and takes HOPS steps; at most `steps` steps are taken in all.
+    """
+    log = frontier = cut(start)
+    taken = 0
+    while (steps is None or taken < steps) and not frontier.isEmpty():
+        hops, now = [], frontier
+        n = HOPS if steps is None else min(HOPS, steps - taken)
+        known = log.select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col("value").alias("old"))
+        old = [F.col(k) == F.col(f"k_{k}") for k in keys]
+        for hop in range(n):
+            step = now.join(edges, now.node == edges.src).select(*[k for k in keys if k != "node"], F.col("dst").alias("node"), along.alias("value"))
+            now = step.groupBy(*keys).agg(best("value").alias("value"))
+            now = now.join(known, [*old, worse(F.col("value"), F.col("old"))], "left_anti").select(*keys, "value")
+            hops.append(now.withColumn("hop", F.lit(hop)))
+        # the best of the round; of equals the earliest, whose own steps have been taken
+        fresh = cut(reduce(DataFrame.union, hops).groupBy(*keys, "value").agg(F.min("hop").alias("hop")).groupBy(*keys).agg(best("value").alias("value"), F.min_by("hop", "value").alias("first"), F.max_by("hop", "value").alias("last")))
+        fresh = fresh.withColumn("hop", F.col("first") if best is F.min else F.col("last")).select(*keys, "value", "hop")
+        frontier = fresh.where(F.col("hop") == n - 1).select(*keys, "value")
+        log = log.unionByName(fresh.drop("hop"))
+        taken += n
+    return log.groupBy(*keys).agg(best("value").alias("value"))
+
+
+def widest_paths(edges: DataFrame, seeds: DataFrame, most_edges: int | None = None) -> DataFrame:
     """(kind, node, confidence): the best bottleneck confidence over all paths from a kind's seeds.
 
     seeds: (kind, node, confidence). One loop serves all kinds and all confidence tiers: a node is reached at tier t from
     a kind exactly if its value is t or more. Values only rise in a three-step order, so a node changes three times at
-    most per kind.
+    most per kind. A graph of at most `most_edges` edges (local_graph.MOST_EDGES if not given) is worked on in one task.
     """
     edges = cut(edges.groupBy("src", "dst").agg(F.max("confidence").alias("via")))
     best = cut(seeds.groupBy("kind", "node").agg(F.max("confidence").cast("int").alias("confidence")))
-    if local.is_small(edges, best):
+    if local.is_small(edges, best, most=most_edges):
         return cut(local.in_one_task(edges, best, local.widest, "kind string,node string,confidence int"))
-    frontier = best
-    while not frontier.isEmpty():
-        step = frontier.join(edges, frontier.node == edges.src).select("kind", F.col("dst").alias("node"), F.least("confidence", "via").alias("confidence"))
-        step = step.groupBy("kind", "node").agg(F.max("confidence").alias("new"))
-        both = cut(best.join(step, ["kind", "node"], "full").select("kind", "node", F.col("confidence").alias("old"), F.greatest("confidence", "new").alias("confidence")))
-        frontier = both.where("old is null or confidence > old").drop("old")
-        best = both.drop("old")
-    return best
+    start = best.withColumnRenamed("confidence", "value")
+    out = _spread(edges, start, ["kind", "node"], F.least("value", "via"), lambda a, b: a <= b, F.max)
+    return cut(out.withColumnRenamed("value", "confidence"))
 
 
 def colors(nodes: DataFrame, widest: DataFrame) -> DataFrame:
@@ -49,19 +76,13 @@ def colors(nodes: DataFrame, widest: DataFrame) -> DataFrame:
     return wide.select("node", color.otherwise("unreachable").alias("color"), F.coalesce(*ROOT_KINDS, F.lit(2)).cast("int").alias("confidence"), *[F.col(k).isNotNull().alias(f"in_{k}") for k in ROOT_KINDS])
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, most_edges: int | None = None) -> DataFrame:
     """(node, depth): least number of steps from any seed (depth 0) along src -> dst."""
     edges = cut(edges.select("src", "dst").distinct())
-    if local.is_small(edges, start := cut(seeds.select("node").distinct())):
+    if local.is_small(edges, start := cut(seeds.select("node").distinct()), most=most_edges):
         return cut(local.in_one_task(edges, start, local.depths(max_depth), "node string,depth int"))
-    seen = cut(start.withColumn("depth", F.lit(0)))
-    frontier, depth = seen, 0
-    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
-        depth += 1
-        step = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        seen = seen.unionByName(frontier)
-    return seen
+    out = _spread(edges, start.withColumn("value", F.lit(0)), ["node"], F.col("value") + 1, lambda a, b: a >= b, F.min, max_depth)
+    return cut(out.withColumnRenamed("value", "depth"))
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -95,19 +116,18 @@ def shortest_paths(edges: DataFrame, seed: str) -> DataFrame:
 
 
 def simple_paths(edges: DataFrame, start: str, end: str, slack: int = 2, most: int = 20_000) -> DataFrame:
-    """(path): paths without repeated nodes from start to end, up to `slack` nodes longer than the shortest.
+    """(path, complete): paths without repeated nodes from start to end, up to `slack` nodes longer than the shortest.
 
-    A node that can no longer reach the end in time is not expanded. `most` bounds the expansions of a round, as a safety
-    valve of the search; the bound is on paths in order of names, so a cut result is the same each time.
+    A node that can no longer reach the end in time is not expanded. `most` bounds the expansions of the whole search, as its
+    safety valve; where it is reached, the first by names are expanded, so that a cut result is the same each time, and
+    `complete` is false on every row.
     """
     edges = cut(edges.select("src", "dst").distinct().where("src <> dst"))
     spark = edges.sparkSession
     to_end = cut(reach(reverse(edges), spark.createDataFrame([(end,)], "node string")))
     first = to_end.where(F.col("node") == start).first()
     found = spark.createDataFrame([], "path array<string>")
-    if first is None:
-        return found
-    limit = first.depth + slack
+    limit, left, complete = (first.depth + slack, most, True) if first else (-1, 0, True)
     frontier = spark.createDataFrame([([start],)], "path array<string>")
     for depth in range(limit + 1):
         last = F.element_at("path", -1)
@@ -116,61 +136,74 @@ def simple_paths(edges: DataFrame, start: str, end: str, slack: int = 2, most: i
             break
         step = frontier.where(last != end).withColumn("src", last).join(edges, "src").where(~F.array_contains("path", F.col("dst")))
         step = step.join(to_end, step.dst == to_end.node).where(F.col("depth") + depth + 1 <= limit)
-        frontier = cut(step.select(F.concat("path", F.array("dst")).alias("path")).orderBy("path").limit(most))
-    return found
+        frontier = cut(step.select(F.concat("path", F.array("dst")).alias("path")))
+        n = frontier.count()
+        if n > left:
+            complete, frontier = False, cut(frontier.orderBy("path").limit(left))
+        left -= min(n, left)
+    return found.withColumn("complete", F.lit(complete))
 
 
 def _propagate_least(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, label): the least label that reaches a node (its own included) along the edges."""
-    frontier = labels
-    while not frontier.isEmpty():
-        step = frontier.join(edges, frontier.node == edges.src).groupBy("dst").agg(F.min("label").alias("new"))
-        both = cut(labels.join(step, labels.node == step.dst, "left").select("node", F.col("label").alias("old"), F.least("label", "new").alias("label")))
-        frontier = both.where("label < old").drop("old")
-        labels = both.drop("old")
-    return labels
+    return cut(_spread(edges, labels.withColumnRenamed("label", "value"), ["node"], F.col("value"), lambda a, b: a >= b, F.min).withColumnRenamed("value", "label"))
+
 
+def components(edges: DataFrame, most_edges: int | None = None) -> DataFrame:
+    """(node, component): least node name of each connected component of the undirected graph.
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): least node name of each connected component of the undirected graph."""
+    Beyond one task's graphs, each round hooks every node's neighbours to the least node around it and then halves the
+    paths to the roots, so the number of rounds grows with the logarithm of the graph's width, not with the width.
+    """
     edges = cut(edges.select("src", "dst").distinct())
     kind = edges.schema["src"].dataType.simpleString()
-    if local.is_small(edges) and kind == "string":
+    if local.is_small(edges, most=most_edges) and kind == "string":
         return cut(local.in_one_task(edges, edges.limit(0), local.least_in_component, "node string,component string"))
-    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    return _propagate_least(both, cut(both.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct())).withColumnRenamed("label", "component")
-
-
-def strong_components(edges: DataFrame) -> DataFrame:
+    nodes = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+    links, before = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()), None
+    while (now := links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()) != before and now[0]:
+        before = now
+        around = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m"))
+        around = around.select("u", F.least("u", "m").alias("m"))
+        hooked = links.select(F.col("v").alias("at"), "u").join(around.withColumnRenamed("u", "at"), "at").select("u", F.col("m").alias("v"))
+        hooked = hooked.union(around.select("u", F.col("m").alias("v"))).where("u > v").distinct()
+        lower = hooked.groupBy("u").agg(F.min("v").alias("m"))
+        links = cut(hooked.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v"))).distinct())
+    return nodes.join(links.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
+
+
+def strong_components(edges: DataFrame, most_edges: int | None = None) -> DataFrame:
     """(node, component): nodes on a cycle of two or more, with the least node name of their strong component.
 
-    Nodes without an edge in or out are trimmed as long as there are any. The least label is then sent forward; a node
-    that keeps its own label is a pivot, and what reaches it backward within its label is its component. What is left goes
-    around again.
+    Nodes without an edge in or out are trimmed a few times. The least label is then sent forward; a node that keeps its
+    own label is a pivot, and what reaches it backward within its label is its component. What is left, edges between
+    labels left out, goes around again, in one task as soon as it is small enough.
     """
     left = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    if local.is_small(left):
-        return cut(local.in_one_task(left, left.limit(0), local.strong, "node string,component string"))
-    out = None
-    while True:
-        while True:  # trim
-            inner = left.select("src").intersect(left.select(F.col("dst").alias("src")))
-            kept = cut(left.join(inner, "src", "left_semi").join(inner.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"))
-            if kept.count() == left.count():
-                break
-            left = kept
-        if left.isEmpty():
+    kind = left.schema["src"].dataType.simpleString()
+    parts: list[DataFrame] = []
+    n = left.count()
+    while n:
+        if kind == "string" and n <= (local.MOST_EDGES if most_edges is None else most_edges):
+            parts.append(cut(local.in_one_task(left, left.limit(0), local.strong, "node string,component string")))
             break
-        names = cut(left.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct())
-        label = _propagate_least(left, names)
+        for _ in range(2):
+            inner = left.select("src").intersect(left.select(F.col("dst").alias("src")))
+            left = left.join(inner, "src", "left_semi").join(inner.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst")
+        left = cut(left)
+        label = _propagate_least(left, left.select(F.col("src").alias("node"), F.col("src").alias("label")).union(left.select("dst", "dst")).distinct())
         inside = left.join(label.select(F.col("node").alias("src"), F.col("label").alias("ls")), "src").join(label.select(F.col("node").alias("dst"), F.col("label").alias("ld")), "dst")
-        same = cut(inside.where("ls = ld").select("src", "dst", F.col("ls").alias("label")))
-        back = reach(reverse(same), label.where("node = label").select("node")).select("node")
+        same = cut(inside.where("ls = ld").select("src", "dst"))
+        # within a label, what reaches its pivot backward
+        back = reach(reverse(same), label.where("node = label").select("node"), most_edges=-1).select("node")
         found = cut(label.join(back, "node", "left_semi").select("node", F.col("label").alias("component")))
-        out = found if out is None else out.union(found)
-        left = cut(left.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti"))
-    if out is None:
-        return edges.sparkSession.createDataFrame([], "node string, component string")
+        parts.append(found)
+        done = found.select(F.col("node").alias("src"))
+        left = cut(same.join(done, "src", "left_anti").join(done.withColumnRenamed("src", "dst"), "dst", "left_anti"))
+        n = left.count()
+    if not parts:
+        return left.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    out = cut(reduce(DataFrame.unionByName, parts))
     sized = out.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
     return out.join(sized, "component", "left_semi").select("node", "component")
 

@@ -86,7 +86,8 @@ def trace(edges: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def trace_all(edges: DataFrame, start: str, end: str, most: int = PATHS) -> DataFrame:
-    """(path): simple paths up to two nodes longer than the shortest, by length and names, `most` of them."""
+    """(path, complete): simple paths up to two nodes longer than the shortest, by length and names, `most` of them; complete
+    is false if the search for them hit its bound."""
     return simple_paths(edges, start, end).orderBy(F.size("path"), "path").limit(most)
 
 

@@ -857,3 +857,28 @@ def incremental_refresh(spark, sf_dir):
     fresh = edges.limit(0)
     kept = replace_owned(edges, changed, fresh)
     return graph.colors(all_nodes(spark, sf_dir), graph.widest_paths(kept, P.part_roots(spark, sf_dir))).select("node", "color", "confidence")
+
+
+# the loops that are built for size, on the same graphs: no graph is worked on in one task
+
+
+@query(ORACLES["reach_colors"])
+def reach_colors_distributed(spark, sf_dir):
+    return graph.colors(all_nodes(spark, sf_dir), graph.widest_paths(P.part_edges(spark, sf_dir), P.part_roots(spark, sf_dir), most_edges=-1))
+
+
+@query(ORACLES["file_cycles"])
+def file_cycles_distributed(spark, sf_dir):
+    return analyses.cycles(cut(P.part_edges(spark, sf_dir)), most_edges=-1)
+
+
+@query(ORACLES["duplicate_functions"])
+def duplicate_functions_distributed(spark, sf_dir):
+    shapes = cut(document_shapes(spark, sf_dir).withColumnRenamed("doc_id", "rid"))
+    return analyses.clone_groups(analyses.clone_pairs(shapes), -1).select(F.col("anchor").alias("group_anchor"), F.col("member").alias("member_id"))
+
+
+@query(ORACLES["used_by_transitive"])
+def used_by_transitive_distributed(spark, sf_dir):
+    found = graph.reach(graph.reverse(P.part_edges(spark, sf_dir)), _seeds(spark, sf_dir, "p_partkey = 7"), most_edges=-1)
+    return found.where("depth > 0")
