@@ -125,6 +125,24 @@ def resolve_by_unit(imports: DataFrame, files: DataFrame) -> DataFrame:
     return imports.join(best.select("path", "specifier", F.col("b.file").alias("target")), ["path", "specifier"], "left")
 
 
+def resolve_rust(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """`imports` (path, specifier, ...) with `target`: `mod:x` means x.rs or x/mod.rs beside the file or below its own name;
+    crate, self and super paths mean the file of the longest prefix of segments below the crate's src, the module or the one
+    above it. files: (path, package)."""
+    own = F.regexp_replace("path", r"(?:/?(?:mod|lib|main))?\.rs$", "")
+    sites = imports.select("path", "specifier").distinct().join(files.select("path", "package"), "path").withColumn("module", own)
+    root = F.when(F.col("package") == "", F.lit("src")).otherwise(F.concat("package", F.lit("/src")))
+    parts = F.split(F.regexp_replace("specifier", "::", "."), r"\.")
+    tail = F.slice(parts, 2, F.size(parts))
+    start = F.when(F.col("specifier").startswith("mod:"), F.col("module")).when(parts[0] == "crate", root).when(parts[0] == "self", F.col("module")).when(parts[0] == "super", dirname(F.col("module")))
+    steps = F.when(F.col("specifier").startswith("mod:"), F.array(F.substring("specifier", 5, 1 << 20))).otherwise(tail)
+    placed = sites.withColumns({"start": start, "steps": steps}).where("start is not null")
+    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size("steps"), F.lit(1))), lambda n: F.array_join(F.filter(F.concat(F.array("start"), F.slice("steps", 1, n)), lambda x: x != ""), "/"))
+    tried = placed.select("path", "specifier", F.posexplode(prefixes).alias("n", "base")).select("path", "specifier", "n", F.explode(F.array(F.concat("base", F.lit(".rs")), F.concat("base", F.lit("/mod.rs")))).alias("candidate"))
+    best = tried.join(files.select(F.col("path").alias("candidate")), "candidate").groupBy("path", "specifier").agg(F.max_by("candidate", F.struct("n", "candidate")).alias("target"))
+    return imports.join(best, ["path", "specifier"], "left")
+
+
 # names
 
 
@@ -312,21 +330,35 @@ def region_covers(outer_scope: Column, outer_path: Column, outer_unit: Column, o
     return wide | in_package | in_unit | in_file
 
 
-def chained_members(chains: DataFrame, fields: DataFrame, most: int = 8) -> DataFrame:
+#: One argument of a generic type, with arguments of its own two levels down.
+ARGUMENT = r"[^,<>\s]+(?:<[^<>]*(?:<[^<>]*>[^<>]*)*>)?"
+
+
+def substitute(text: Column, params: Column, arguments: Column) -> Column:
+    """A type expression with each parameter replaced by its argument; those without an argument stay."""
+    pairs = F.arrays_zip(params.alias("p"), arguments.alias("a"))
+    return F.aggregate(pairs, text, lambda out, x: F.when(x["a"].isNull() | x["p"].isNull(), out).otherwise(F.regexp_replace(out, F.concat(F.lit(r"\b"), x["p"], F.lit(r"\b")), x["a"])))
+
+
+def chained_members(chains: DataFrame, fields: DataFrame, generics: DataFrame | None = None, most: int = 8) -> DataFrame:
     """(ref, type): the type at the end of member chains `a.b.c`, by member-type facts; null where a step isn't known.
 
-    chains: (ref, type, steps array); fields: (type, member, yields). Steps are taken one a round, by a join of all chains
-    that still have one; the type of a generic member is its bare name.
+    chains: (ref, type, steps array); fields: (type, member, yields); generics: (type, params). Steps are taken one a round,
+    by a join of all chains that still have one; what a member of a generic type yields has its parameters replaced by the
+    arguments that the chain has come with.
     """
     now = chains.select("ref", "type", "steps")
-    bare = fields.groupBy("type", "member").agg(F.min("yields").alias("yields")).withColumnRenamed("type", "of")
+    bare = fields.groupBy("type", "member").agg(F.min("yields").alias("yields")).withColumnsRenamed({"type": "of", "member": "m"})
+    params = (generics if generics is not None else fields.select("type", F.array().cast("array<string>").alias("params")).limit(0)).groupBy("type").agg(F.min("params").alias("params")).withColumnRenamed("type", "g")
     for _ in range(most):
         if now.where("type is not null and size(steps) > 0").isEmpty():
             break
-        first = F.when(F.size("steps") > 0, F.get("steps", F.lit(0)))
-        met = now.withColumn("member", first).join(bare.withColumnRenamed("member", "m"), (F.col("type") == F.col("of")) & (F.col("member") == F.col("m")), "left")
-        left = F.size("steps") > 0
-        now = cut(met.select("ref", F.when(left, F.regexp_replace("yields", "<.*$", "")).otherwise(F.col("type")).alias("type"), F.when(left, F.slice("steps", 2, F.greatest(F.size("steps") - 1, F.lit(0)))).otherwise(F.col("steps")).alias("steps")))
+        left, base = F.size("steps") > 0, F.regexp_replace("type", "<.*$", "")
+        step = now.withColumn("base", base).withColumn("member", F.when(left, F.get("steps", F.lit(0))))
+        met = step.join(bare, (F.col("base") == F.col("of")) & (F.col("member") == F.col("m")), "left").join(params, F.col("base") == F.col("g"), "left")
+        arguments = F.regexp_extract_all(F.regexp_extract("type", "<(.*)>$", 1), F.lit(ARGUMENT), 0)
+        after = F.when(F.col("params").isNull(), F.col("yields")).otherwise(substitute(F.col("yields"), F.col("params"), arguments))
+        now = cut(met.select("ref", F.when(left, after).otherwise(F.col("type")).alias("type"), F.when(left, F.slice("steps", 2, F.greatest(F.size("steps") - 1, F.lit(0)))).otherwise(F.col("steps")).alias("steps")))
     return now.select("ref", F.when(F.size("steps") == 0, F.col("type")).alias("type"))
 
 

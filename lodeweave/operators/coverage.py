@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import ancestors
+
 
 def accumulate(lines: DataFrame) -> DataFrame:
     """(path, line, hits) with the hits of repeated lines added up."""
@@ -37,6 +39,8 @@ def rebase_by_package(lines: DataFrame, packages: DataFrame, files: DataFrame) -
     """Lines of unknown paths put under a package's directory, where exactly one package then has such a file."""
     known = lines.join(files.select("path"), "path", "left_semi")
     other = lines.join(files.select("path"), "path", "left_anti")
-    dirs = files.join(packages.select("dir"), F.col("path").startswith(F.concat("dir", F.lit("/")))).select(F.col("path").alias("real"), F.expr("substring(path, length(dir) + 2)").alias("path"))
-    one = dirs.groupBy("path").agg(F.min("real").alias("real"), F.count("*").alias("n")).where("n = 1")
+    # an equi-join on the directories above each file
+    above = files.select(F.col("path").alias("real"), F.explode(ancestors(F.col("path"))).alias("dir")).join(packages.select("dir").distinct(), "dir")
+    dirs = above.select("real", F.when(F.col("dir") == "", F.col("real")).otherwise(F.expr("substring(real, length(dir) + 2)")).alias("path"))
+    one = dirs.groupBy("path").agg(F.min("real").alias("real"), F.count_distinct("real").alias("n")).where("n = 1")
     return known.unionByName(other.join(one, "path").select(F.col("real").alias("path"), "line", "hits"))

@@ -17,6 +17,9 @@ from ..sources.config import Settings
 from . import plugins
 from .lineage import cut
 
+#: Directories of tests directly below a package, and by language what belongs to the standard library. Fixed values.
+TEST_DIRS = ["test", "tests", "__tests__", "spec", "androidTest", "Tests"]
+LIBRARIES = {"rust": ["std.", "core.", "alloc."], "java": ["java.", "javax.", "jdk."], "kotlin": ["kotlin.", "java.", "javax.", "kotlinx."], "swift": ["Foundation", "UIKit", "SwiftUI", "Swift", "Combine", "XCTest", "Dispatch"]}
 #: Script modules of the runtime. Fixed values.
 STDLIB = "assert buffer child_process cluster console crypto dgram dns events fs http http2 https module net os path perf_hooks process punycode querystring readline repl stream string_decoder timers tls tty url util v8 vm worker_threads zlib".split()
 
@@ -76,7 +79,15 @@ def assemble_graph(spark: SparkSession, tree: DataFrame, settings: Settings | No
     plain = plain.where(~F.regexp_extract("path", r"([^/]*)$", 1).isin(*manifests.PARSERS))
     known = facts.select("path", "language", F.col("facts.unit").alias("unit"))
     owned = assemble.longest_prefix(plain.join(known, "path", "left"), "path", packages.select(F.col("package").alias("dir"), F.col("package").alias("owner")), "")
-    files = cut(owned.select("path", "content_hash", "language", "origin", "role", F.col("owner").alias("package"), F.coalesce("unit", dirname(F.col("path"))).alias("unit")))
+    owned = owned.select("path", "content_hash", "language", "origin", "role", F.col("owner").alias("package"), F.coalesce("unit", dirname(F.col("path"))).alias("unit"))
+    # targets of a manifest name the unit of all that lies below their folder
+    places = rows.where("kind = 'target'").select(F.explode(F.array(*[join_path(F.col("package"), F.concat(F.lit(d), "name")) for d in ("Sources/", "Tests/", "Plugins/")])).alias("dir"), F.col("name").alias("owner"))
+    over = assemble.longest_prefix(owned, "path", places)
+    over = over.withColumn("unit", F.coalesce("owner", "unit")).drop("owner")
+    gates = facts.select("path", F.explode("facts.gates").alias("g")).select("path", F.concat(F.lit("mod:"), "g.module").alias("specifier"), F.col("g.gated").alias("from_test"))
+    gated = assemble.resolve_rust(gates.select("path", "specifier").distinct(), over).where("target is not null").join(gates, ["path", "specifier"]).join(over.select("path", "role"), "path")
+    gated = gated.select("target", (F.col("from_test") | (F.col("role") == "test")).alias("from_test"))
+    files = cut(assemble.demote_test_gated(assemble.promote_test_roles(over, TEST_DIRS), gated))
 
     d = facts.select("path", "language", F.explode("facts.declarations").alias("d")).select("path", "language", "d.*")
     label = F.concat_ws(".", "member_of", "name")
@@ -92,7 +103,15 @@ def assemble_graph(spark: SparkSession, tree: DataFrame, settings: Settings | No
     by_unit = assemble.resolve_by_unit(other, files)
     go = assemble.resolve_by_prefix(other.where("language = 'go'").select("specifier").distinct(), rows.where("kind = 'name' and manifest like '%go.mod'").select(F.col("name").alias("module"), F.col("package").alias("target"))).withColumnRenamed("target", "go_dir")
     met = by_unit.join(go, "specifier", "left")
-    compiled = met.withColumn("resolution", F.when(F.col("target").isNotNull(), "file").when(F.col("go_dir").isNotNull(), "workspace-member").otherwise("unresolved")).drop("go_dir")
+    met = assemble.resolve_rust(met.withColumnRenamed("target", "by_unit"), files).withColumn("target", F.coalesce(F.when(F.col("language") == "rust", F.col("target")), "by_unit"))
+    library = F.when(F.col("language") == "go", ~F.substring_index("specifier", "/", 1).contains("."))
+    for language, prefixes in LIBRARIES.items():
+        library = library.when(F.col("language") == language, assemble.is_stdlib(F.col("specifier"), [p for p in prefixes if p.endswith(".")], [p.rstrip(".") for p in prefixes]))
+    needs = declared.select("package", F.col("name").alias("wanted")).distinct().withColumn("declared", F.lit(True))
+    crate = F.regexp_replace(F.split("specifier", r"[.:]")[0], "_", "-")
+    met = met.withColumn("wanted", F.when(F.col("language") == "rust", crate).otherwise(F.col("specifier"))).join(needs, ["package", "wanted"], "left")
+    resolution = F.when(F.col("target").isNotNull(), "file").when(F.col("go_dir").isNotNull(), "workspace-member").when(F.coalesce(library, F.lit(False)), "stdlib").when(F.col("declared"), "dependency").otherwise("unresolved")
+    compiled = met.withColumn("resolution", resolution).withColumn("target", F.coalesce("target", F.when(F.col("resolution") == "dependency", F.col("wanted"))))
     imports = cut(script.unionByName(compiled.select(*script.columns)))
 
     reexports = imports.where("reexport and resolution in ('file', 'workspace-member')")
@@ -101,17 +120,24 @@ def assemble_graph(spark: SparkSession, tree: DataFrame, settings: Settings | No
     names = cut(assemble.reexport_fixpoint(tops, pending))
 
     refs = facts.select("path", F.explode("facts.references").alias("r")).select("path", "r.*").join(files.select("path", "language", "package", "unit"), "path")
-    refs = cut(refs.withColumn("ref", F.xxhash64("path", "name", "qualifier", "kind", "line")).dropDuplicates(["ref"]))
+    refs = cut(refs.distinct().withColumn("ref", F.monotonically_increasing_id()))
     bound = imports.where("resolution in ('file', 'workspace-member') and alias is not null").select(F.col("path").alias("at"), F.col("alias").alias("known_as"), F.col("name").alias("imported"), F.col("target").alias("file"))
     by_import = refs.join(bound, (F.col("path") == F.col("at")) & (F.col("name") == F.col("known_as"))).join(names.withColumnRenamed("name", "n"), ["file"]).where("imported = n or imported = 'default' or imported = '*'").select("ref", F.col("sym").alias("target"))
-    by_qualifier = refs.join(bound, (F.col("path") == F.col("at")) & (F.col("qualifier") == F.col("known_as"))).join(names.withColumnRenamed("name", "n"), ["file"]).where(F.col("name") == F.col("n")).select("ref", F.col("sym").alias("target"))
+    # a module bound under a name brings the modules bound in it, one hop on
+    linked = assemble.link_bindings(bound.where("imported = '*'").select(F.col("at").alias("file"), F.col("known_as").alias("name"), F.col("file").alias("target")).distinct())
+    far = linked.where("name like '%.%'").select(F.col("file").alias("at"), F.col("name").alias("known_as"), F.lit("*").alias("imported"), F.col("target").alias("file"))
+    by_qualifier = refs.join(bound.unionByName(far), (F.col("path") == F.col("at")) & (F.col("qualifier") == F.col("known_as"))).join(names.withColumnRenamed("name", "n"), ["file"]).where(F.col("name") == F.col("n")).select("ref", F.col("sym").alias("target"))
     own = symbols.select(F.col("path").alias("p"), F.col("name").alias("n"), "sym", "member_of", F.col("unit").alias("u"), F.col("language").alias("lang"))
     bare = refs.where("qualifier is null")
     same_file = bare.join(own.where("member_of is null"), (F.col("path") == F.col("p")) & (F.col("name") == F.col("n"))).select("ref", F.col("sym").alias("target"))
+    # of twins in a file, one whose lines hold the use goes before the others
+    twins = symbols.where("member_of is null").join(symbols.where("member_of is null").groupBy("path", "name").agg(F.count("*").alias("alike")).where("alike > 1"), ["path", "name"]).select("path", "name", "sym", "first", "last")
+    within = assemble.within_owner(bare.select(F.col("ref").alias("site"), "path", "name", "line"), twins).select(F.col("site").alias("ref"), F.col("sym").alias("target"))
+    chained = chained_uses(facts, refs, symbols)
     same_unit = bare.where("language in ('go', 'java', 'kotlin', 'swift')").join(own.where("member_of is null"), (F.col("unit") == F.col("u")) & (F.col("language") == F.col("lang")) & (F.col("name") == F.col("n"))).select("ref", F.col("sym").alias("target"))
     members = symbols.where("member_of is not null").select("sym", "name", "language", "path", "unit", "package", F.when(F.col("visibility") == 0, 0).when(F.col("visibility") == 1, 1).otherwise(4).alias("scope"))
     duck = cut(assemble.duck_typed(refs.where("qualifier is not null").select("ref", "name", "language", "path", "unit", "package"), members))
-    ranked = assemble.ranked_resolution([("qualifier", by_qualifier), ("same-file", same_file), ("import", by_import), ("unit", same_unit), ("duck", duck.select("ref", "target"))])
+    ranked = assemble.ranked_resolution([("qualifier", by_qualifier), ("chain", chained), ("owner", within), ("same-file", same_file), ("import", by_import), ("unit", same_unit), ("duck", duck.select("ref", "target"))])
     sure = duck.select("ref", "target", F.col("confidence").alias("duck"))
     resolved = ranked.join(sure, ["ref", "target"], "left").join(refs, "ref")
     # a use counts for the innermost declaration around it, or else for the file
@@ -128,6 +154,10 @@ def assemble_graph(spark: SparkSession, tree: DataFrame, settings: Settings | No
     targets = rows.where("kind = 'entry'").select(join_path(F.col("package"), F.col("name")).alias("wanted"), F.col("scope").alias("key"))
     candidates = targets.select("wanted", F.posexplode(assemble.script_candidates(F.lit(""), F.concat(F.lit("/"), "wanted"))).alias("at", "path")).join(files.select("path"), "path")
     entry_files = candidates.groupBy("wanted").agg(F.min_by("path", "at").alias("node")).select(F.lit("production").alias("kind"), "node", F.lit(CERTAIN).alias("confidence"))
+    # whole-module re-exports of an entry file make what they name part of the surface
+    whole = reexports.where("name = '*'").select(F.col("path").alias("src"), F.col("target").alias("dst"), F.lit(CERTAIN).alias("confidence"))
+    shown = assemble.library_surface(entry_files.select(F.col("node").alias("file"), "confidence"), whole)
+    entry_files = shown.select(F.lit("production").alias("kind"), F.col("file").alias("node"), "confidence")
     public = entry_files.join(names, F.col("node") == F.col("file")).select("kind", F.col("sym").alias("node"), F.lit(CERTAIN).alias("confidence"))
     invoked = rows.where("kind = 'script'").select("package", F.explode(F.regexp_extract_all("value", F.lit(r"[\w./-]+\.[cm]?[jt]sx?"), 0)).alias("word")).select(join_path(F.col("package"), assemble.normalize_path(F.col("word"))).alias("path"))
     launched = invoked.join(files.select("path"), "path", "left_semi").select(F.lit("production").alias("kind"), F.col("path").alias("node"), F.lit(PROBABLE).alias("confidence"))
@@ -153,6 +183,23 @@ def assemble_graph(spark: SparkSession, tree: DataFrame, settings: Settings | No
     return with_plugins(g, tree, plugins.BUILTIN)
 
 
+def chained_uses(facts: DataFrame, refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(ref, target): members at the end of chains `a.b.c`, by the type that `a` is known to hold where it is used (its last
+    mention before), or by the type around `this` and `self`."""
+    known = facts.select("path", F.explode("facts.types").alias("t")).select("path", "t.*")
+    fields = known.where("owner is not null").select(F.col("owner").alias("type"), F.col("name").alias("member"), F.col("type").alias("yields"))
+    generics = facts.select(F.explode("facts.generics").alias("g")).select("g.*")
+    uses = refs.where("qualifier is not null and qualifier <> '?'").select("ref", "path", "language", "name", "line", F.split("qualifier", r"\.").alias("steps")).withColumn("head", F.col("steps")[0])
+    held = known.where("owner is null").select("path", F.col("name").alias("head"), F.col("type").alias("holds"), F.col("line").alias("from"))
+    by_name = uses.join(held, ["path", "head"]).where(F.col("from") <= F.col("line")).groupBy("ref").agg(F.max_by("holds", F.struct("from", "holds")).alias("type"))
+    types = symbols.where("member_of is null and last > first").select("path", F.col("name").alias("around"), "first", "last", "kind").where("kind not in ('function', 'constant', 'variable', 'module')")
+    by_self = uses.where("head in ('this', 'self')").join(types, "path").where("line between first and last").groupBy("ref").agg(F.min_by("around", F.struct(F.col("last") - F.col("first"), "around")).alias("type"))
+    start = by_name.union(by_self).groupBy("ref").agg(F.min("type").alias("type")).join(uses.select("ref", F.slice("steps", 2, F.size("steps")).alias("steps")), "ref")
+    ends = assemble.chained_members(start, fields, generics).where("type is not null").withColumn("member_of", F.regexp_replace("type", "<.*$", ""))
+    members = symbols.where("member_of is not null").select("member_of", "name", "language", F.col("sym").alias("target"))
+    return ends.join(uses.select("ref", "name", "language"), "ref").join(members, ["member_of", "name", "language"]).select("ref", "target")
+
+
 def with_plugins(g: Graph, tree: DataFrame, known: list[plugins.Plugin]) -> Graph:
     """The graph with what the active plugins contribute."""
     on = plugins.active(known, g.files.select("path").union(g.packages.where("manifest is not null").select("manifest")), g.declared)
@@ -170,16 +217,18 @@ def with_plugins(g: Graph, tree: DataFrame, known: list[plugins.Plugin]) -> Grap
     return g
 
 
-def read_coverage(tree: DataFrame, files: DataFrame) -> DataFrame:
-    """Lines of all coverage reports in the tree, with paths brought to those of its files."""
+def read_coverage(tree: DataFrame, files: DataFrame, prefixes: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Lines of all coverage reports in the tree, with paths brought to those of its files: by the given prefixes, or below the
+    one package that has such a file."""
     text = tree.select("path", F.col("content").cast("string").alias("content"))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     lines = coverage_formats.parse_lcov(text.where(name.rlike(r"lcov.*\.info$|\.lcov$|^lcov\.info$")))
     lines = lines.union(coverage_formats.parse_go(text.where(name.rlike(r"\.(?:coverprofile|cov\.out)$|^coverage\.out$"))))
     lines = lines.union(coverage_formats.parse_cobertura(text.where(name.rlike(r"cobertura.*\.xml$|^coverage\.xml$"))))
     lines = lines.union(coverage_formats.parse_jacoco(text.where(name.rlike(r"^jacoco.*\.xml$"))))
-    lines = lines.withColumn("path", F.regexp_replace("path", r"^\./", ""))
-    return cut(coverage.accumulate(lines.join(files.select("path"), "path", "left_semi")))
+    lines = coverage.rebase(lines.withColumn("path", F.regexp_replace("path", r"^\./", "")), prefixes or [])
+    placed = coverage.rebase_by_package(lines, files.select(F.col("package").alias("dir")).where("dir <> ''").distinct(), files)
+    return cut(coverage.accumulate(placed.join(files.select("path"), "path", "left_semi")))
 
 
 def _finding(rows: DataFrame, category: str, subject_kind, path, symbol=None, line=None, confidence=None, package=None, message=None, extra=None) -> DataFrame:

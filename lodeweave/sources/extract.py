@@ -25,12 +25,15 @@ FACTS = """struct<unit:string,
 declarations:array<struct<name:string,kind:string,first:int,last:int,exported:boolean,member_of:string,visibility:int,markers:array<string>,implements:string,signature_last:int,implicitly_invoked:boolean>>,
 imports:array<struct<specifier:string,name:string,alias:string,line:int,reexport:boolean>>,
 references:array<struct<name:string,qualifier:string,kind:string,line:int>>,
-shapes:array<struct<name:string,first:int,last:int,cyclomatic:int,loc:int,tokens:array<string>>>,
+shapes:array<struct<name:string,first:int,last:int,cyclomatic:int,loc:int,tokens:array<string>,construction:boolean>>,
+types:array<struct<owner:string,name:string,type:string,line:int>>,generics:array<struct<type:string,params:array<string>>>,
+texts:array<struct<callee:string,text:string,line:int>>,gates:array<struct<module:string,gated:boolean,line:int>>,
 pragmas:array<struct<line:int,scope:string,category:string,subject:string>>,
 roots:array<struct<kind:string,name:string,confidence:int>>,dynamics:array<struct<dir:string,line:int>>,diagnostics:array<string>>"""
 
 TOKEN = re.compile(r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|\"\"\".*?\"\"\")|(?P<number>\b\d[\w.]*)|(?P<name>[@#]?[A-Za-z_$][\w$]*!?)|(?P<sign>=>|->|::|\.\.\.|&&|\|\||\?\?|\?\.|[^\s\w])""", re.S)
 PRAGMA = re.compile(r"weave:allow(-file)?[ \t]+([a-z-]+)(?::(\S+))?")
+TYPE_WORDS = frozenset("class interface struct trait enum protocol object actor record".split())
 BRANCHES = frozenset("if for while case catch when guard match && || ?? ?".split())
 #: Words that are no references, in all languages and per language. Fixed values.
 COMMON = frozenset("if else for while do switch case default break continue return class const new try catch finally throw this super null true false import package void static enum interface".split())
@@ -61,6 +64,10 @@ class Facts:
     pragmas: list[dict] = field(default_factory=list)
     roots: list[dict] = field(default_factory=list)
     dynamics: list[dict] = field(default_factory=list)
+    types: list[dict] = field(default_factory=list)
+    generics: list[dict] = field(default_factory=list)
+    texts: list[dict] = field(default_factory=list)
+    gates: list[dict] = field(default_factory=list)
     diagnostics: list[str] = field(default_factory=list)
 
     def declare(self, name: str, kind: str, first: int, last: int, exported: bool, **more) -> None:
@@ -94,6 +101,16 @@ def closing(tokens: list[Token], i: int) -> int:
     return len(tokens) - 1
 
 
+def opening(tokens: list[Token], i: int) -> int:
+    """Index of the parenthesis that the one at i closes, within 200 tokens; 0 if none is found."""
+    depth = 0
+    for j in range(i, max(-1, i - 200), -1):
+        depth += (tokens[j].text == ")") - (tokens[j].text == "(")
+        if not depth:
+            return j
+    return 0
+
+
 def body_of(tokens: list[Token], i: int) -> tuple[int, int] | None:
     """Indices of the braces of the next body from i, on this side of the next `;` or declaration end."""
     depth = 0
@@ -114,7 +131,100 @@ def shape(facts: Facts, name: str, tokens: list[Token], start: int, stop: int, w
     """Complexity, size and the normalised tokens of a function body."""
     body = tokens[start : stop + 1]
     plain = ["ID" if t.kind == "name" and t.text not in words else "LIT" if t.kind in ("string", "number") else t.text for t in body]
-    facts.shapes.append({"name": name, "first": body[0].line, "last": body[-1].line, "cyclomatic": 1 + sum(t.text in BRANCHES for t in body), "loc": body[-1].line - body[0].line + 1, "tokens": plain})
+    facts.shapes.append({"name": name, "first": body[0].line, "last": body[-1].line, "cyclomatic": 1 + sum(t.text in BRANCHES for t in body), "loc": body[-1].line - body[0].line + 1, "tokens": plain, "construction": is_construction(body)})
+
+
+def is_construction(body: list[Token]) -> bool:
+    """Whether a whole body is one expression that builds a value: `new T(...)`, `T(...)`, `T { ... }` or `&T{...}`."""
+    inner = [t for t in body[1:-1] if t.text != ";"]
+    while inner and inner[0].text in ("return", "new", "&"):
+        inner = inner[1:]
+    k = 0
+    while k + 2 < len(inner) and inner[k].kind == "name" and inner[k + 1].text in (".", "::"):
+        k += 2
+    if k + 1 >= len(inner) or inner[k].kind != "name" or not (inner[k].text[:1].isupper() or inner[k].text == "new") or inner[k + 1].text not in ("(", "{"):
+        return False
+    return closing(inner, k + 1) == len(inner) - 1
+
+
+def type_text(tokens: list[Token], i: int) -> tuple[str, int]:
+    """A type's name with its arguments from token i on, and the index behind it; empty if there is none."""
+    while i < len(tokens) and tokens[i].text in ("&", "*", "mut", "?", "dyn", "any", "some", "var", "inout"):
+        i += 1
+    if i >= len(tokens) or tokens[i].kind != "name" or not tokens[i].text[:1].isupper():
+        return "", i
+    out, i = tokens[i].text, i + 1
+    if i < len(tokens) and tokens[i].text == "<":
+        depth, j = 0, i
+        while j < min(len(tokens), i + 40):
+            depth += (tokens[j].text == "<") - (tokens[j].text == ">")
+            out += tokens[j].text
+            j += 1
+            if not depth:
+                return out, j
+        return out.split("<")[0], i
+    return out, i
+
+
+def types_of(facts: Facts, tokens: list[Token], language: str) -> None:
+    """(owner, name, type, line): what names are known to hold or yield. owner is the type whose member it is, or null for a
+    variable or parameter; parameters of generic types; string arguments of calls."""
+    n = len(tokens)
+    at = lambda k: tokens[k].text if 0 <= k < n else ""
+    # the type whose body directly holds each token
+    owners: list[str | None] = [None] * n
+    stack: list[str | None] = []
+    coming: str | None = None
+    for i, t in enumerate(tokens):
+        if t.kind == "name" and t.text in TYPE_WORDS and i + 1 < n and tokens[i + 1].kind == "name" and at(i - 1) != ".":
+            coming = at(i + 1)
+        elif t.kind == "name" and t.text in ("impl", "extension"):
+            head = [x.text for x in tokens[i + 1 : i + 30]]
+            head = head[: head.index("{")] if "{" in head else []
+            coming = next((x for x in (head[head.index("for") + 1 :] if "for" in head else head) if x[:1].isupper()), None)
+        elif t.text == "{":
+            stack.append(coming)
+            coming = None
+        elif t.text == "}" and stack:
+            stack.pop()
+        elif t.text == ";":
+            coming = None
+        owners[i] = stack[-1] if stack else None
+
+    def note(i: int, type_: str) -> None:
+        facts.types.append({"owner": owners[i], "name": at(i), "type": type_, "line": tokens[i].line})
+
+    for i, t in enumerate(tokens):
+        if t.kind == "string" and at(i - 1) == "(" and i > 1 and tokens[i - 2].kind == "name":
+            facts.texts.append({"callee": at(i - 2), "text": t.text[1:-1], "line": t.line})
+        if t.kind != "name":
+            continue
+        if t.text in ("class", "interface", "struct", "trait", "enum", "protocol") and at(i + 2) == "<":
+            text, _ = type_text(tokens, i + 1)
+            params = [x.strip().split(":")[0].split("extends")[0].strip() for x in text.partition("<")[2].rstrip(">").split(",")]
+            if params and params != [""]:
+                facts.generics.append({"type": at(i + 1), "params": params})
+        after = at(i + 1)
+        if after in (":", "?:") or after == "?" and at(i + 2) == ":":
+            found, of = type_text(tokens, i + (3 if after == "?" else 2))[0], i
+        elif after == "=" and at(i + 2) == "new":
+            found, of = type_text(tokens, i + 3)[0], i
+        elif after == "=" and (language in ("kotlin", "swift") and at(i + 3) == "(" or language == "rust" and at(i + 3) in ("::", "{")):
+            found, of = type_text(tokens, i + 2)[0], i
+        elif language == "go" and after == ":" and at(i + 2) == "=":
+            found, of = type_text(tokens, i + 3)[0], i
+        elif language == "java" and t.text[:1].isupper() and at(i - 1) not in ("class", "interface", "enum", "new", "."):
+            found, of = type_text(tokens, i)
+            found = found if of < n and tokens[of].kind == "name" and at(of) not in KEYWORDS["java"] else ""
+        elif language == "go" and i and t.text[:1].isupper() and tokens[i - 1].kind == "name" and at(i - 1) not in KEYWORDS["go"] and at(i - 2) != "func":
+            found, of = t.text, i - 1
+        elif after == "(" and owners[i] and language != "java":
+            stop = closing(tokens, i + 1)
+            found, of = type_text(tokens, stop + 2)[0] if at(stop + 1) in (":", "->") else "", i
+        else:
+            continue
+        if found:
+            note(of, found)
 
 
 def references(facts: Facts, tokens: list[Token], skip: set[int], words: frozenset[str]) -> None:
@@ -125,7 +235,17 @@ def references(facts: Facts, tokens: list[Token], skip: set[int], words: frozens
             continue
         after = tokens[i + 1].text if i + 1 < len(tokens) else ""
         if before in (".", "?.", "::") and i > 1:
-            qualifier = tokens[i - 2].text if tokens[i - 2].kind == "name" else "?"
+            parts, k = [], i - 2
+            while True:
+                if k > 0 and tokens[k].text == ")":  # a call in the chain yields what its name does
+                    k = opening(tokens, k) - 1
+                if k < 0 or tokens[k].kind != "name":
+                    break
+                parts.append(tokens[k].text)
+                if k < 2 or tokens[k - 1].text not in (".", "?.", "::"):
+                    break
+                k -= 2
+            qualifier = ".".join(reversed(parts)) if parts and tokens[k].kind == "name" else "?"
         else:
             qualifier = None
         kind = "call" if after == "(" or t.text.endswith("!") else "extend" if before in ("extends",) else "implement" if before == "implements" else "type-use" if before in (":", "->", "<", "as", "new") else "read"
@@ -254,6 +374,7 @@ def javascript(text: str, facts: Facts) -> None:
         if d["name"] in exported_names and not d["member_of"]:
             d["exported"], d["visibility"] = True, 2
     references(facts, tokens, skip, words)
+    types_of(facts, tokens, "js")
 
 
 #: Per language: declaration keywords with kinds, how a name is public, and patterns of imports and units.
@@ -314,6 +435,13 @@ def braces(language: str, text: str, facts: Facts) -> None:
             skip |= set(range(i, min(stop + 1, n)))
             i = stop + 1
             continue
+        if t.text == "mod" and language == "rust" and i + 1 < n and tokens[i + 1].kind == "name" and at(i + 2) == ";":
+            near = "".join(x.text for x in tokens[max(0, i - 9) : i])
+            facts.bring(f"mod:{at(i + 1)}", t.line, "*", at(i + 1))
+            facts.gates.append({"module": at(i + 1), "gated": bool(re.search(r"#\[cfg\(.*\btest\b.*\)\](?:pub)?$", near)), "line": t.line})
+            skip.add(i + 1)
+            i += 3
+            continue
         if t.text == "impl" and language == "rust":
             span = body_of(tokens, i)
             names = [x.text for x in tokens[i + 1 : span[0]] if x.kind == "name" and x.text not in ("for", "where", "dyn")] if span else []
@@ -352,6 +480,7 @@ def braces(language: str, text: str, facts: Facts) -> None:
             skip.add(i)
         i += 1
     references(facts, tokens, skip, reserved)
+    types_of(facts, tokens, language)
 
 
 def stylesheet(text: str, facts: Facts) -> None:
