@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from .operators import health, navigate
 from .operators.report import display_order
-from .plans import batch
-from .plans.check import analyse, assemble_graph, check, check_diff
-from .sources import config, discover, sinks
+from .plans import batch, plugins
+from .plans.check import analyse, assemble_graph, check, check_diff, check_staged, verdict
+from .plans.lineage import cut
+from .sources import config, discover, sinks, store
 
 RANK = {"none": None, "info": 0, "warning": 1, "error": 2}
 
@@ -34,6 +35,9 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--skip", action="append", default=[])
         p.add_argument("--fail-on", choices=sorted(RANK), default="none")
         p.add_argument("--diff")
+        p.add_argument("--staged", action="store_true")
+        p.add_argument("--strict", action="store_true")
+        p.add_argument("--store")
         p.add_argument("--depth", type=int)
         p.add_argument("--baseline", default=".lodeweave-baseline.json")
         p.add_argument("--config", default="lodeweave.toml")
@@ -55,13 +59,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
         print("config:", problem, file=sys.stderr)
     baseline = Path(a.root) / a.baseline
     try:
-        if a.verb == "check" and a.diff:
-            rows = check_diff(spark, a.root, a.diff, settings=settings).collect()
-            for r in rows:
-                say(r.delta, r.origin, r.id)
-            return int(any(r.delta == "new" for r in rows) and settings.fail_on is not None)
+        if a.verb == "check" and (a.diff or a.staged):
+            delta = check_staged(spark, a.root, settings) if a.staged else check_diff(spark, a.root, a.diff, settings=settings)
+            delta = cut(delta)
+            for r in delta.orderBy("delta", "id").collect():
+                say(r.delta, r.origin, r.category, r.id)
+            new = delta.where("delta = 'new'").select("category", "severity", F.lit("").alias("path"))
+            return int(verdict(new, delta, settings, a.strict).first().verdict == "fail")
         if a.verb in ("check", "health", "baseline", "query", "explain"):
-            result = check(spark, a.root, settings)
+            if a.verb == "baseline" and a.arguments[:1] != ["update"] and baseline.exists():
+                raise ValueError(f"{baseline} exists: use baseline ROOT update")
+            result = check(spark, a.root, settings, stored=a.store)
             if a.verb in ("query", "explain"):
                 lines = sys.stdin if a.verb == "query" else [json.dumps({"verb": "explain", "id": a.arguments[0]})]
                 answers = list(batch.answer_lines(result, lines))
@@ -71,18 +79,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
             rows = [r.asDict() for r in display_order(result.findings).collect()]
             score = health.score(result.health).first().asDict()
             if a.verb == "health":
-                say(json.dumps(score))
+                say(json.dumps(score | {"packages": [r.asDict() for r in result.packages.orderBy("package").collect()]}))
                 return 0
             if a.verb == "baseline":
                 baseline.write_text(json.dumps(sorted(r["id"] for r in rows)))
                 return 0
             known = set(json.loads(baseline.read_text())) if baseline.exists() else set()
+            left = result.findings.join(spark.createDataFrame([(i,) for i in known], "id string"), "id", "left_anti")
             rows = [r for r in rows if r["id"] not in known]
             say(sinks.json_report(rows, score) if a.format == "json" else sinks.FORMATS[a.format](rows))
-            return int(settings.fail_on is not None and any(r["severity"] >= settings.fail_on for r in rows))
+            return int(verdict(left, None, settings, a.strict).first().verdict == "fail")
         graph = assemble_graph(spark, discover.discover(spark, a.root), settings)
         if a.verb == "doctor":
-            say(json.dumps({"files": graph.files.groupBy("language").count().toPandas().to_dict("records"), "problems": [r.asDict() for r in graph.diagnostics.collect()]}))
+            say(json.dumps({"files": graph.files.groupBy("language").count().toPandas().to_dict("records"), "symbols": graph.symbols.groupBy("language", "kind").count().toPandas().to_dict("records"), "plugins": [p.id for p in plugins.active(plugins.BUILTIN, graph.files.select("path"), graph.declared)], "stored": None if not a.store else store.latest(spark, a.store) is not None, "problems": [r.asDict() for r in graph.diagnostics.collect()]}))
             return 0
         if a.verb == "find":
             rows = navigate.find(graph.symbols.withColumn("label", F.concat_ws(".", "member_of", "name")), a.arguments[0], ["label", "name"], "sym").collect()

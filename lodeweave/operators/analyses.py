@@ -203,13 +203,16 @@ def deep_imports(imports: DataFrame, surface: DataFrame) -> DataFrame:
     return across.join(surface, ["provider", "target"], "left_anti").groupBy("consumer", "provider").agg(F.count("*").alias("n_sites"), F.max("confidence").alias("confidence"))
 
 
-def cycles(edges: DataFrame, small: bool = False, most_edges: int | None = None) -> DataFrame:
+def cycles(edges: DataFrame, small: bool = False, most_edges: int | None = None, parts: DataFrame | None = None) -> DataFrame:
     """(anchor, size, confidence) of each cycle group of the (src, dst, confidence) edges, parallel edges included.
 
     The anchor is the node with the most edges coming from inside the group, the least name among equals; confidence is
-    the least on edges inside. `small` graphs (packages) use the transitive closure, others the colouring.
+    the least on edges inside. `small` graphs (packages) use the transitive closure, others the colouring, unless their
+    strong components are given as `parts`.
     """
-    if small:
+    if parts is not None:
+        pass
+    elif small:
         paths = closure(edges.where("src <> dst"))
         mutual = paths.alias("a").join(paths.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).where("a.src <> a.dst")
         parts = mutual.groupBy(F.col("a.src").alias("node")).agg(F.least(F.col("node"), F.min("a.dst")).alias("component"))
@@ -225,6 +228,26 @@ def cycles(edges: DataFrame, small: bool = False, most_edges: int | None = None)
     return size.join(anchor, "component").join(level, "component").select(F.col("best.node").alias("anchor"), "size", "confidence")
 
 
+def shortest_cycles(edges: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
+    """(anchor, cycle): a shortest way from each group's anchor back to it, the least by names among the shortest.
+
+    edges: (src, dst) inside groups; groups: (anchor); members: (node, component). All groups are searched at once, a step a
+    round; a node is passed once in its group, so a round's rows are nodes at most.
+    """
+    part = members.select(F.col("node").alias("src"), "component")
+    inside = cut(edges.where("src <> dst").select("src", "dst").distinct().join(part, "src").join(members.select(F.col("node").alias("dst"), F.col("component").alias("to")), "dst").where("component = to").select("src", "dst"))
+    frontier = cut(groups.select("anchor", F.col("anchor").alias("node"), F.array("anchor").alias("way")))
+    seen, found = frontier.select("anchor", "node"), None
+    while not frontier.isEmpty():
+        step = frontier.join(inside, frontier.node == inside.src).select("anchor", F.col("dst").alias("node"), F.concat("way", F.array("dst")).alias("way"))
+        step = cut(step.groupBy("anchor", "node").agg(F.min("way").alias("way")))
+        closed = step.where("node = anchor").select("anchor", F.col("way").alias("cycle"))
+        found = closed if found is None else found.union(closed)
+        frontier = cut(step.join(closed.select("anchor"), "anchor", "left_anti").join(seen, ["anchor", "node"], "left_anti"))
+        seen = seen.union(frontier.select("anchor", "node"))
+    return found if found is not None else groups.select("anchor", F.array("anchor").alias("cycle")).limit(0)
+
+
 def file_cycles_only(groups: DataFrame, members: DataFrame) -> DataFrame:
     """File cycle groups (component) that lie in a single package; those over two packages are package findings.
 

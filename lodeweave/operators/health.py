@@ -28,6 +28,14 @@ def grade(score: Column) -> Column:
     return out
 
 
+def to_next_grade(score: Column) -> Column:
+    """Points that are missing to the next better grade; null for the best."""
+    out = F.lit(None).cast("double")
+    for _, least in GRADES:
+        out = F.when(score < least, F.round(least - score, 1)).otherwise(out)
+    return out
+
+
 def penalties(ratios: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, axis, ratio, penalty) from (by, axis, part, whole): weight * min(ratio / saturation, 1), to one decimal.
 

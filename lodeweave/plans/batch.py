@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import functions as F
 
 from ..functions.paths import basename
-from ..operators import navigate
+from ..operators import analyses, coverage, navigate
 from .check import Graph, Result
 
 VERBS = ("find", "describe", "uses", "used-by", "trace", "impact", "explain")
@@ -65,20 +65,41 @@ def answer(result: Result, request: dict) -> dict:
             roots = [r.asDict() for r in navigate.nearest_roots(edges, g.roots, node).collect()]
             path = node.split("#")[0]
             found = [r.asDict() for r in result.findings.where(F.col("path") == path).collect()]
-            return {"request": request, "rows": [r.asDict() for r in rows], "roots": roots, "findings": found, "elided": 0}
+            return {"request": request, "rows": [r.asDict() for r in rows], "roots": roots, "findings": found, "metrics": metrics(g, node), "elided": 0}
         if verb == "impact" and request.get("if_deleted"):
             table = navigate.impact_if_deleted(g.nodes(), g.all_edges(), g.roots, seeds)
         elif verb == "impact":
             table = navigate.impact(edges, seeds, g.roots)
         else:
             table = (navigate.uses if verb == "uses" else navigate.used_by)(edges, seeds, request.get("depth", 1))
+        more = {}
+        if verb == "impact" and request.get("if_deleted"):
+            gone = g.symbols.select(F.col("sym").alias("node"), "path").join(seeds, "node").select("path").union(seeds.select("node")).distinct()
+            used = g.imports.where("resolution = 'dependency'").select(F.col("target").alias("name"), "path")
+            whole = gone.join(g.files.select("path"), "path", "left_semi").join(seeds, F.col("path") == F.col("node"), "left_semi")
+            more["freed"] = sorted(r.name for r in navigate.freed_dependencies(used, g.declared, whole).collect())
+            touched = table.join(g.symbols.select(F.col("sym").alias("node"), "package"), "node").groupBy("package").count().orderBy("package").collect()
+            more["packages"] = {r.package: r["count"] for r in touched}
         total = table.count()
         order = ["depth", "node"] if "depth" in table.columns else ["node"]
-        return {"request": request, "rows": [r.asDict() for r in table.orderBy(*order).limit(limit).collect()], "elided": max(0, total - limit)}
+        return {"request": request, "rows": [r.asDict() for r in table.orderBy(*order).limit(limit).collect()], "elided": max(0, total - limit), **more}
     except (KeyError, ValueError) as error:
         return {"request": request, "error": str(error), "rows": []}
 
 
+def metrics(g: Graph, node: str) -> list[dict]:
+    """Shapes of a symbol or of a file: complexity, lines, tokens, whether it only builds a value; crap only if measured."""
+    path, _, rest = node.partition("#")
+    own = g.shapes.where(F.col("path") == path)
+    if rest:
+        own = own.where((F.col("name") == rest.rpartition("@")[0]) & (F.col("first") == int(rest.rpartition("@")[2])))
+    spans = own.select(F.concat("path", F.lit("#"), "name", F.lit("@"), F.col("first").cast("string")).alias("id"), "path", "first", "last")
+    measured = coverage.function_coverage(spans, g.coverage).where("coverage is not null")
+    rows = own.withColumn("id", F.concat("path", F.lit("#"), "name", F.lit("@"), F.col("first").cast("string"))).join(measured.select("id", "coverage"), "id", "left")
+    score = F.when(F.col("coverage").isNotNull(), analyses.crap_score(F.col("cyclomatic"), F.col("coverage")))
+    return [r.asDict() for r in rows.select("name", "first", "cyclomatic", "loc", F.size("tokens").alias("tokens"), "construction", "coverage", score.alias("crap")).orderBy("first").collect()]
+
+
 def _weakest(edges, path: list[str]) -> int | None:
     """The least confidence of the steps of one path."""
     pairs = list(zip(path, path[1:], strict=False))

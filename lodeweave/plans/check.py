@@ -51,6 +51,7 @@ class Graph:
     pragmas: DataFrame
     coverage: DataFrame
     diagnostics: DataFrame
+    plugin_findings: DataFrame | None = None
 
     def nodes(self) -> DataFrame:
         return self.files.select(F.col("path").alias("node")).union(self.symbols.select("sym"))
@@ -66,11 +67,12 @@ def join_path(folder, name):
     return F.when(folder == "", name).otherwise(F.concat(folder, F.lit("/"), name))
 
 
-def assemble_graph(spark: SparkSession, tree: DataFrame, settings: Settings | None = None) -> Graph:
-    """The graph of a discovered tree (path, content_hash, content)."""
+def assemble_graph(spark: SparkSession, tree: DataFrame, settings: Settings | None = None, facts: DataFrame | None = None, known_plugins: list[plugins.Plugin] | None = None) -> Graph:
+    """The graph of a discovered tree (path, content_hash, content, perhaps modified); facts: those of its files, where they
+    are known already."""
     settings = settings or Settings()
-    tree = cut(tree.select("path", "content_hash", "content"))
-    facts = cut(extract.facts_of(tree))
+    tree = cut(tree.select("path", "content_hash", "content", *[c for c in ("modified",) if c in tree.columns]))
+    facts = cut(extract.facts_of(tree) if facts is None else facts)
     rows = cut(manifests.parse(tree))
     packages = rows.where("kind <> 'diagnostic'").groupBy("package").agg(
         F.min("manifest").alias("manifest"), F.min(F.when(F.col("kind") == "name", F.col("name"))).alias("name"), F.bool_or(F.col("kind") == "surface").alias("declares_surface")
@@ -107,11 +109,12 @@ def assemble_graph(spark: SparkSession, tree: DataFrame, settings: Settings | No
     library = F.when(F.col("language") == "go", ~F.substring_index("specifier", "/", 1).contains("."))
     for language, prefixes in LIBRARIES.items():
         library = library.when(F.col("language") == language, assemble.is_stdlib(F.col("specifier"), [p for p in prefixes if p.endswith(".")], [p.rstrip(".") for p in prefixes]))
-    needs = declared.select("package", F.col("name").alias("wanted")).distinct().withColumn("declared", F.lit(True))
+    # crates are declared with either sign between words
+    needs = declared.groupBy("package", F.regexp_replace("name", "_", "-").alias("wanted")).agg(F.min("name").alias("declared"))
     crate = F.regexp_replace(F.split("specifier", r"[.:]")[0], "_", "-")
-    met = met.withColumn("wanted", F.when(F.col("language") == "rust", crate).otherwise(F.col("specifier"))).join(needs, ["package", "wanted"], "left")
-    resolution = F.when(F.col("target").isNotNull(), "file").when(F.col("go_dir").isNotNull(), "workspace-member").when(F.coalesce(library, F.lit(False)), "stdlib").when(F.col("declared"), "dependency").otherwise("unresolved")
-    compiled = met.withColumn("resolution", resolution).withColumn("target", F.coalesce("target", F.when(F.col("resolution") == "dependency", F.col("wanted"))))
+    met = met.withColumn("wanted", F.when(F.col("language") == "rust", crate).otherwise(F.regexp_replace("specifier", "_", "-"))).join(needs, ["package", "wanted"], "left")
+    resolution = F.when(F.col("target").isNotNull(), "file").when(F.col("go_dir").isNotNull(), "workspace-member").when(F.coalesce(library, F.lit(False)), "stdlib").when(F.col("declared").isNotNull(), "dependency").otherwise("unresolved")
+    compiled = met.withColumn("resolution", resolution).withColumn("target", F.coalesce("target", F.when(F.col("resolution") == "dependency", F.col("declared"))))
     imports = cut(script.unionByName(compiled.select(*script.columns)))
 
     reexports = imports.where("reexport and resolution in ('file', 'workspace-member')")
@@ -149,7 +152,9 @@ def assemble_graph(spark: SparkSession, tree: DataFrame, settings: Settings | No
     maybe = assemble.dynamic_targets(dynamics, files)
     dynamic = maybe.select(F.lit("imports-file").alias("ekind"), "src", "dst", none(), "confidence", F.col("src").alias("owner"), F.lit(None).cast("int"))
     opened = maybe.select(F.lit("wildcard").alias("ekind"), F.col("dst").alias("src"), none().alias("dst"), none().alias("rk"), F.lit(POSSIBLE).alias("c"), F.col("dst").alias("owner"), F.lit(None).cast("int").alias("line"))
-    edges = cut(uses.union(to_file).union(dynamic).union(opened))
+    stated_edges = uses.union(to_file).union(dynamic).union(opened)
+    adapters = files.select(F.col("path").alias("owner"), F.concat(F.lit("adapter:"), "language").alias("source"))
+    edges = cut(stated_edges.join(adapters, "owner", "left").select(*stated_edges.columns, "source"))
 
     targets = rows.where("kind = 'entry'").select(join_path(F.col("package"), F.col("name")).alias("wanted"), F.col("scope").alias("key"))
     candidates = targets.select("wanted", F.posexplode(assemble.script_candidates(F.lit(""), F.concat(F.lit("/"), "wanted"))).alias("at", "path")).join(files.select("path"), "path")
@@ -179,8 +184,8 @@ def assemble_graph(spark: SparkSession, tree: DataFrame, settings: Settings | No
     pragmas = facts.select("path", F.explode("facts.pragmas").alias("p")).select("path", "p.*")
     pragmas = pragmas.select(F.concat("path", F.lit(":"), F.col("line").cast("string"), F.lit(":"), "category").alias("pragma"), "path", "line", F.col("line").alias("last_line"), "category", "subject", "scope")
     problems = facts.select("path", F.explode("facts.diagnostics").alias("message")).union(rows.where("kind = 'diagnostic'").select("manifest", "name"))
-    g = Graph(files, symbols, imports, edges, roots, cut(shapes), packages, declared, scripts, surface, cut(pragmas), read_coverage(tree, files), problems)
-    return with_plugins(g, tree, plugins.BUILTIN)
+    g = Graph(files, symbols, imports, edges, roots, cut(shapes), packages, declared, scripts, surface, cut(pragmas), read_coverage(tree, files, max_age=settings.max_age_seconds), problems)
+    return with_plugins(g, tree, plugins.BUILTIN if known_plugins is None else known_plugins)
 
 
 def chained_uses(facts: DataFrame, refs: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -209,17 +214,26 @@ def with_plugins(g: Graph, tree: DataFrame, known: list[plugins.Plugin]) -> Grap
     g.roots = cut(g.roots.distinct())
     for p in on:
         if p.edges:
-            more = p.edges(g, tree).select(F.lit("references-file").alias("ekind"), "src", "dst", none().alias("ref_kind"), "confidence", F.col("src").alias("owner"), F.lit(None).cast("int").alias("line"))
+            more = p.edges(g, plugins.view(p, tree)).select(F.lit("references-file").alias("ekind"), "src", "dst", none().alias("ref_kind"), "confidence", F.col("src").alias("owner"), F.lit(None).cast("int").alias("line"), F.lit(f"plugin:{p.id}").alias("source"))
             g.edges = cut(g.edges.unionByName(more))
         if p.generated:
-            made = p.generated(g, tree).withColumn("made", F.lit(True))
+            made = p.generated(g, plugins.view(p, tree)).withColumn("made", F.lit(True))
             g.files = cut(g.files.join(made, "path", "left").withColumn("origin", F.when(F.col("made"), "generated").otherwise(F.col("origin"))).drop("made"))
+        if p.annotate:
+            marks = p.annotate(g, plugins.view(p, tree)).groupBy("path", F.col("name").alias("n")).agg(F.collect_set("marker").alias("more"))  # a symbol's marks
+            g.symbols = cut(g.symbols.join(marks.withColumnRenamed("path", "at"), (F.col("path") == F.col("at")) & (F.col("name") == F.col("n")), "left").withColumn("markers", F.array_union(F.coalesce("markers", F.array().cast("array<string>")), F.coalesce("more", F.array().cast("array<string>")))).drop("at", "n", "more"))
+        if p.coverage:
+            lines = p.coverage(g, plugins.view(p, tree)).select("path", "line", F.col("hits").cast("bigint").alias("hits"))
+            g.coverage = cut(coverage.accumulate(g.coverage.select("path", "line", "hits").unionByName(lines.join(g.files.select("path"), "path", "left_semi"))))
+    g.plugin_findings = plugins.contribute_findings(on, g, tree)
     return g
 
 
-def read_coverage(tree: DataFrame, files: DataFrame, prefixes: list[tuple[str, str]] | None = None) -> DataFrame:
+def read_coverage(tree: DataFrame, files: DataFrame, prefixes: list[tuple[str, str]] | None = None, max_age: int | None = None) -> DataFrame:
     """Lines of all coverage reports in the tree, with paths brought to those of its files: by the given prefixes, or below the
     one package that has such a file."""
+    if max_age is not None and "modified" in tree.columns:  # reports that are too old say nothing of this tree
+        tree = tree.where(F.col("modified").isNull() | (F.unix_timestamp("modified") >= F.unix_timestamp() - max_age))
     text = tree.select("path", F.col("content").cast("string").alias("content"))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     lines = coverage_formats.parse_lcov(text.where(name.rlike(r"lcov.*\.info$|\.lcov$|^lcov\.info$")))
@@ -264,7 +278,8 @@ def analyse(g: Graph, settings: Settings | None = None) -> tuple[DataFrame, Data
     out.append(_finding(rolled, "unused", lit("directory"), c("dir"), message=F.concat(c("n_files").cast("string"), lit(" files"))))
     out.append(_finding(analyses.unused_symbols(g.symbols, colors, g.files, served).join(by_sym, "sym"), "unused", c("kind"), c("path"), c("label"), c("first")))
 
-    uses = g.imports.where("resolution = 'dependency'").select("package", c("target").alias("name"), "role", "origin", lit(CERTAIN).alias("confidence"), "language")
+    # a member of the workspace is used by its package name
+    uses = g.imports.where("resolution in ('dependency', 'workspace-member')").select("package", F.when(c("resolution") == "dependency", c("target")).otherwise(assemble.package_part(c("specifier"))).alias("name"), "role", "origin", lit(CERTAIN).alias("confidence"), "language")
     usage = cut(analyses.dependency_usage(g.declared, uses, g.scripts))
     manifest = g.packages.select("package", "manifest")
     for verdict in ("unused", "test-only"):
@@ -280,7 +295,8 @@ def analyse(g: Graph, settings: Settings | None = None) -> tuple[DataFrame, Data
     out.append(_finding(same, "duplicate", lit("file"), c("anchor"), message=F.concat(c("n_copies").cast("string"), lit(" copies"))))
     fit = g.shapes.join(g.files.where("role <> 'test' and origin = 'authored'").select("path"), "path", "left_semi").where(F.size("tokens") >= settings.duplicate_tokens)
     rid = F.concat("path", lit("#"), "name", lit("@"), c("first").cast("string"))
-    shaped = cut(fit.select(rid.alias("rid"), "language", "path", "name", "first", winnow(grams(c("tokens"))).alias("fingerprints")))
+    shaped = fit.select(rid.alias("rid"), "language", "path", "name", "first", F.concat_ws("#", "path", "name").alias("label"), winnow(grams(c("tokens"))).alias("fingerprints"))
+    shaped = cut(analyses.disambiguate(shaped, "label", "first").withColumn("name", F.expr("substring(label, length(path) + 2)")))
     clones = cut(analyses.clone_groups(analyses.clone_pairs(shaped)))
     anchors = clones.select(c("anchor").alias("rid")).distinct().join(shaped, "rid")
     out.append(_finding(anchors, "duplicate", lit("function"), c("path"), c("name"), c("first")))
@@ -292,7 +308,10 @@ def analyse(g: Graph, settings: Settings | None = None) -> tuple[DataFrame, Data
     spread = parts.join(packs, parts.node == packs.path).where("package <> ''").groupBy("component").agg(F.count_distinct("package").alias("n")).where("n >= 2")
     inner = parts.join(spread, "component", "left_anti")
     loops = hazard.join(inner.select(c("node").alias("src")), "src", "left_semi").join(inner.select(c("node").alias("dst")), "dst", "left_semi")
-    out.append(_finding(analyses.cycles(cut(loops)), "cyclic", lit("file"), c("anchor"), confidence=c("confidence")))
+    loops = cut(loops)
+    rounds = cut(analyses.cycles(loops, parts=inner))
+    shown = rounds.join(analyses.shortest_cycles(loops, rounds, inner), "anchor", "left")
+    out.append(_finding(shown, "cyclic", lit("file"), c("anchor"), confidence=c("confidence"), message=F.array_join("cycle", " > ")))
     cross = between.join(packs.select(c("path").alias("src"), c("package").alias("a")), "src").join(packs.select(c("path").alias("dst"), c("package").alias("b")), "dst").where("a <> b and a <> '' and b <> ''")
     rings = analyses.cycles(cut(cross.groupBy(c("a").alias("src"), c("b").alias("dst")).agg(F.max("confidence").alias("confidence"))), small=True)
     out.append(_finding(rings.join(g.packages.select(c("package").alias("anchor"), "manifest"), "anchor"), "cyclic", lit("package"), c("manifest"), confidence=c("confidence"), package=c("anchor")))
@@ -331,8 +350,8 @@ def analyse(g: Graph, settings: Settings | None = None) -> tuple[DataFrame, Data
     used = stated.where("src <> dst").select(c("dst").alias("sym"), needs.alias("scope"), "confidence")
     exempt = g.roots.select(c("node").alias("sym")).union(colors.where("color = 'unreachable'").select("node")).distinct()
     judgeable = ranked.where("kind <> 'constructor' and not implicitly_invoked and origin = 'authored' and role = 'production'").withColumn("nested_scope", lit(False)).join(exempt, "sym", "left_anti")
-    narrow = analyses.internal_only(judgeable, used, ladder(g.files.sparkSession)).where("confidence = 2")
-    out.append(_finding(narrow.join(by_sym, "sym"), "internal-only", c("kind"), c("path"), c("label"), c("first")))
+    narrow = analyses.internal_only(judgeable, used, ladder(g.files.sparkSession))
+    out.append(_finding(narrow.join(by_sym, "sym"), "internal-only", c("kind"), c("path"), c("label"), c("first"), confidence=c("confidence")))
     held = g.symbols.select(c("sym").alias("decl"), c("first").alias("signature_start"), c("signature_last").alias("signature_end"), c("language").alias("l1"))
     named = g.edges.where("ref_kind = 'type-use'").select(c("src").alias("decl"), c("dst").alias("type"), "confidence", "line").join(held, "decl").join(g.symbols.select(c("sym").alias("type"), c("language").alias("l2")), "type")
     owner = g.symbols.where("member_of is null").select("path", c("name").alias("member_of"), c("sym").alias("owner"))
@@ -344,7 +363,9 @@ def analyse(g: Graph, settings: Settings | None = None) -> tuple[DataFrame, Data
     findings = out[0]
     for rows in out[1:]:
         findings = findings.unionByName(rows)
-    return cut(findings.dropDuplicates(["id"])), colors, clones
+    # of findings with one id the first by line, package and message stays
+    best = F.min(F.struct("line", "package", "message", *[x for x in findings.columns if x not in ("id", "line", "package", "message")])).alias("b")
+    return cut(findings.groupBy("id").agg(best).select("id", *[f"b.{x}" for x in findings.columns[1:]])), colors, clones
 
 
 def suppressed(g: Graph, findings: DataFrame) -> DataFrame:
@@ -355,6 +376,9 @@ def suppressed(g: Graph, findings: DataFrame) -> DataFrame:
     from ..schema import CATEGORIES
 
     stale = report.stale_pragmas(g.pragmas, bound, hit, [x for x in CATEGORIES if x != "stale"]).join(g.pragmas.select("pragma", "path", "line"), "pragma")
+    named = g.pragmas.select("pragma", F.col("category").alias("name"))
+    hints = named.join(report.nearest_category(named), "name").select("pragma", "hint")
+    stale = stale.join(hints, "pragma", "left").withColumn("reason", F.when(F.col("hint").isNotNull() & (F.col("reason") == "unknown"), F.concat("reason", F.lit(", perhaps "), "hint")).otherwise(F.col("reason")))
     extra = _finding(stale, "stale", F.lit("suppression"), F.col("path"), line=F.col("line"), message=F.col("reason"), extra=F.col("pragma"))
     return findings.join(hit.select("id").distinct(), "id", "left_anti").unionByName(extra)
 
@@ -363,29 +387,58 @@ def c_subject():
     return F.coalesce("symbol", "path")
 
 
-def health_of(g: Graph, findings: DataFrame, colors: DataFrame) -> DataFrame:
-    """(axis, ratio, penalty) of the whole tree."""
-    n = lambda df: df.agg(F.count("*").alias("n"))
-    cat = lambda category, kinds=None: findings.where(F.col("category") == category).where(F.col("subject_kind").isin(*kinds) if kinds else F.lit(True))
-    code = ["function", "method", "class", "constant", "variable", "type", "enum", "interface", "struct", "trait", "object", "property"]
-    symbols, files = g.symbols, g.files.where("language is not null")
-    production = g.nodes().join(colors.where("color = 'production'"), "node").join(symbols.select(F.col("sym").alias("node")), "node", "left_semi")
+#: Kinds of symbols that count as code. Fixed values.
+CODE = ["function", "method", "class", "constant", "variable", "type", "enum", "interface", "struct", "trait", "object", "property"]
+
+
+def tallies(findings: DataFrame, symbols: DataFrame, files: DataFrame, declared: DataFrame, shapes: DataFrame, colors: DataFrame) -> DataFrame:
+    """(package, axis, part, whole) of each health axis: findings over what they could be of, by package.
+
+    findings: (category, subject_kind, package); symbols: (node, package, exported); files (package) that a language claims;
+    declared, shapes: (package); colors: (node, color).
+    """
+    cat = lambda category, kinds=None: findings.where(F.col("category") == category).where(F.col("subject_kind").isin(*kinds) if kinds else F.lit(True)).select("package")
+    production = symbols.join(colors.where("color = 'production'").select("node"), "node", "left_semi")
     pairs = {
-        "unused-symbols": (cat("unused", code), symbols),
+        "unused-symbols": (cat("unused", CODE), symbols),
         "unused-files": (cat("unused", ["file"]), files),
-        "unused-dependencies": (cat("unused", ["dependency"]).unionByName(cat("test-only", ["dependency"])), g.declared),
-        "test-only": (cat("test-only", [*code, "file"]), symbols),
+        "unused-dependencies": (cat("unused", ["dependency"]).unionByName(cat("test-only", ["dependency"])), declared),
+        "test-only": (cat("test-only", [*CODE, "file"]), symbols),
         "cycles": (cat("cyclic"), files),
         "internal-only": (cat("internal-only"), symbols.where("exported")),
-        "untested": (cat("untested", code), production),
-        "duplication": (cat("duplicate", ["function"]), g.shapes),
-        "crap": (cat("crap"), g.shapes),
+        "untested": (cat("untested", CODE), production),
+        "duplication": (cat("duplicate", ["function"]), shapes),
+        "crap": (cat("crap"), shapes),
     }
     rows = None
     for axis, (part, whole) in pairs.items():
-        one = n(part).withColumnRenamed("n", "part").join(F.broadcast(n(whole).withColumnRenamed("n", "whole")), F.lit(True)).select(F.lit(axis).alias("axis"), "part", "whole")  # one row each
+        one = part.select("package", F.lit(1).alias("part"), F.lit(0).alias("whole")).union(whole.select("package", F.lit(0), F.lit(1))).withColumn("axis", F.lit(axis))
         rows = one if rows is None else rows.union(one)
-    return health.penalties(rows)
+    return rows.groupBy("package", "axis").agg(F.sum("part").alias("part"), F.sum("whole").alias("whole"))
+
+
+def tallies_of(g: Graph, findings: DataFrame, colors: DataFrame) -> DataFrame:
+    owners = g.files.select("path", F.col("package").alias("own")).union(g.packages.where("manifest is not null").select("manifest", "package"))
+    placed = findings.drop("package").join(owners, "path", "left").select("category", "subject_kind", F.coalesce("own", F.lit("")).alias("package"))
+    symbols = g.symbols.select(F.col("sym").alias("node"), "package", "exported")
+    shapes = g.shapes.join(g.files.select("path", "package"), "path").select("package")
+    return cut(tallies(placed, symbols, g.files.where("language is not null").select("package"), g.declared.select("package"), shapes, colors))
+
+
+def health_of(spark: SparkSession, tally: DataFrame) -> DataFrame:
+    """(axis, ratio, penalty) of the whole tree; an axis without anything to judge has ratio 0."""
+    axes = spark.createDataFrame([(a,) for a in health.AXES], "axis string")
+    whole = tally.groupBy("axis").agg(F.sum("part").alias("part"), F.sum("whole").alias("whole"))
+    return health.penalties(axes.join(whole, "axis", "left").fillna(0, ["part", "whole"]))
+
+
+def health_by_package(g: Graph, tally: DataFrame) -> DataFrame:
+    """(package, score, grade, to_next) where two packages or more own claimed files; no rows otherwise."""
+    owning = g.files.where("language is not null").select("package").distinct()
+    several = F.broadcast(owning.agg((F.count("*") > 1).alias("several")).where("several"))  # one row at most
+    by = tally.join(owning, "package", "left_semi").join(several, F.lit(True), "left_semi")
+    scored = health.score(health.penalties(by, ["package"]), ["package"])
+    return scored.withColumn("to_next", health.to_next_grade(F.col("score")))
 
 
 @dataclass
@@ -394,15 +447,56 @@ class Result:
     findings: DataFrame
     colors: DataFrame
     health: DataFrame
+    packages: DataFrame | None = None
+    sources: DataFrame | None = None
+
 
+def stored_graph(spark: SparkSession, tree: DataFrame, settings: Settings, folder: str, known_plugins: list[plugins.Plugin] | None = None) -> Graph:
+    """The graph of a tree from its stored snapshot, or assembled from stored facts and then stored."""
+    from ..sources import store
 
-def check(spark: SparkSession, root: str, settings: Settings | None = None, tree: DataFrame | None = None) -> Result:
-    """All findings of the tree below `root` (or of a given one), after pragmas and filters, and its health axes."""
+    tree = cut(tree)
+    if (g := store.load(spark, tree, folder)) is None:
+        g = assemble_graph(spark, tree, settings, store.facts(spark, tree, folder), known_plugins)
+        store.save(g, tree, folder)
+    return g
+
+
+def provenance_of(g: Graph, findings: DataFrame) -> DataFrame:
+    """(id, sources): the adapter of each finding's file, and who contributed an edge at its symbol or file."""
+    label = F.concat_ws(".", "member_of", "name")
+    at = g.symbols.select("path", label.alias("symbol"), F.col("first").alias("line"), F.col("sym").alias("node"))
+    placed = findings.join(at, ["path", "symbol", "line"], "left").select("id", "path", F.coalesce("node", "path").alias("node"))
+    claims = g.files.where("language is not null").select("path", F.concat(F.lit("adapter:"), "language").alias("source"))
+    return report.provenance(placed, g.edges.where("source is not null"), claims)
+
+
+def check(spark: SparkSession, root: str, settings: Settings | None = None, tree: DataFrame | None = None, stored: str | None = None, known_plugins: list[plugins.Plugin] | None = None) -> Result:
+    """All findings of the tree below `root` (or of a given one), after pragmas and filters, and its health axes.
+
+    stored: a folder of facts and snapshots, which unchanged files and trees are taken from."""
     settings = settings or Settings()
-    g = assemble_graph(spark, discover.discover(spark, root) if tree is None else tree, settings)
+    tree = discover.discover(spark, root) if tree is None else tree
+    g = stored_graph(spark, tree, settings, stored, known_plugins) if stored else assemble_graph(spark, tree, settings, known_plugins=known_plugins)
     found, colors, _ = analyse(g, settings)
-    kept = report.report_filter(suppressed(g, found), settings.only or None, settings.skip or None, settings.min_confidence).where("fate = 'shown'").drop("fate")
-    return Result(g, cut(kept), colors, health_of(g, found, colors))
+    kept = cut(report.report_filter(suppressed(g, found), settings.only or None, settings.skip or None, settings.min_confidence).where("fate = 'shown'").drop("fate"))
+    tally = tallies_of(g, found, colors)
+    return Result(g, kept, colors, health_of(spark, tally), health_by_package(g, tally), provenance_of(g, kept))
+
+
+def verdict(findings: DataFrame, deltas: DataFrame | None, settings: Settings, strict: bool = False) -> DataFrame:
+    """(worst, failed_budgets, verdict) of findings, with the settings' budgets: `category` bounds new less fixed findings,
+    `category-per-subject` what one file has. strict: any finding fails. deltas: (category, delta), none without a base."""
+    spark = findings.sparkSession
+    rules = [(k, k.removesuffix("-per-subject"), "per-subject" if k.endswith("-per-subject") else "net", most) for k, most in settings.budgets.items()]
+    table = spark.createDataFrame(rules, "rule string, category string, kind string, most int")
+    if deltas is None:
+        table, deltas = table.where("kind = 'per-subject'"), spark.createDataFrame([], "category string, delta string")
+    sure = F.lit(False).alias("advisory")
+    totals = findings.select("category", F.col("path").alias("subject"), sure)
+    budget = report.budgets(deltas.select("category", "delta", sure), totals, table)
+    least = 0 if strict else 1 << 20 if settings.fail_on is None else settings.fail_on
+    return report.gate(findings.select("severity", sure), budget, least)
 
 
 def check_diff(spark: SparkSession, repository: str, before: str, after: DataFrame | None = None, settings: Settings | None = None) -> DataFrame:
@@ -411,7 +505,13 @@ def check_diff(spark: SparkSession, repository: str, before: str, after: DataFra
     base = discover.discover_git(spark, repository, before)
     a, b = check(spark, repository, settings, tree), check(spark, repository, settings, base)
     touched = report.touched_paths(base, tree)
-    return report.diff(b.findings.select("id", "path"), a.findings.select("id", "path"), touched)
+    both = b.findings.select("id", "category", "severity").union(a.findings.select("id", "category", "severity")).distinct()
+    return report.diff(b.findings.select("id", "path"), a.findings.select("id", "path"), touched).join(both, "id")
+
+
+def check_staged(spark: SparkSession, repository: str, settings: Settings | None = None) -> DataFrame:
+    """check_diff() between the last commit and what is staged, whatever lies in the working tree."""
+    return check_diff(spark, repository, "HEAD", discover.discover_git(spark, repository, discover.write_tree(repository)), settings)
 
 
 def envelope(result: Result, limit: int | None = None) -> str:

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import glob_to_regex
+from ..functions.paths import ancestors, glob_to_regex
 from ..operators.assemble import plugin_targets
 from ..operators.report import cap_per_rule
 from ..schema import CERTAIN, PROBABLE
@@ -22,8 +22,9 @@ CONTRIBUTION = "plugin string, path string, name string, kind string, confidence
 
 @dataclass(frozen=True)
 class Plugin:
-    """roots: (graph, files with content) -> (path, name, confidence); edges: -> (src, path, name); members: trait names
-    with the methods that machinery calls; findings: -> rows with rule and id."""
+    """roots: (graph, files with content) -> (path, name, confidence); edges: -> (src, dst, confidence); members: trait names
+    with the methods that machinery calls; annotate: -> (path, name, marker); coverage: -> (path, line, hits); findings: ->
+    rows with rule and id. reads: globs of the files whose contents it may see, all if there are none."""
 
     id: str
     globs: tuple[str, ...] = ()
@@ -34,6 +35,32 @@ class Plugin:
     generated: Callable | None = None
     members: dict[str, tuple[str, ...]] = field(default_factory=dict)
     findings: Callable | None = None
+    annotate: Callable | None = None
+    coverage: Callable | None = None
+    reads: tuple[str, ...] = ()
+
+
+#: Contents that a plugin sees: of one file, and of all together, the smallest first.
+MOST_FILE_BYTES, MOST_VIEW_BYTES = 1 << 20, 64 << 20
+
+
+def view(plugin: Plugin, contents: DataFrame, most_file: int = MOST_FILE_BYTES, most: int = MOST_VIEW_BYTES) -> DataFrame:
+    """The files whose contents a plugin may read, within its budgets; a plugin without `reads` sees all of them.
+
+    Sizes are added up by classes of two powers, so that no task sorts all files; of the class that the budget ends in, none
+    is shown."""
+    if not plugin.reads:
+        return contents
+    size = F.octet_length("content")
+    some = contents.where(F.col("path").rlike("|".join(map(glob_to_regex, plugin.reads))) & (size <= most_file)).withColumn("class", F.ceil(F.log2(size + 1)).cast("int"))
+    held = some.groupBy("class").agg(F.sum(size).alias("bytes")).orderBy("class").collect()  # 21 rows at most
+    upto, last = 0, -1
+    for row in held:
+        upto += row.bytes
+        if upto > most:
+            break
+        last = row["class"]
+    return some.where(F.col("class") <= last).drop("class")
 
 
 def active(plugins: list[Plugin], files: DataFrame, declared: DataFrame) -> list[Plugin]:
@@ -51,7 +78,7 @@ def contribute_roots(plugins: list[Plugin], graph, contents: DataFrame) -> tuple
     rows = spark.createDataFrame([], CONTRIBUTION)
     for p in plugins:
         if p.roots:
-            rows = rows.unionByName(p.roots(graph, contents).select(F.lit(p.id).alias("plugin"), "path", "name", F.lit("production").alias("kind"), F.col("confidence").cast("int").alias("confidence")))
+            rows = rows.unionByName(p.roots(graph, view(p, contents)).select(F.lit(p.id).alias("plugin"), "path", "name", F.lit("production").alias("kind"), F.col("confidence").cast("int").alias("confidence")))
     hit = plugin_targets(rows, graph.files, graph.symbols)
     stated = rows.groupBy("plugin").agg(F.count("*").alias("stated"))
     counts = stated.join(hit.groupBy("plugin").agg(F.count("*").alias("resolved")), "plugin", "left").select("plugin", "stated", F.coalesce("resolved", F.lit(0)).alias("resolved"))
@@ -72,7 +99,7 @@ def contribute_findings(plugins: list[Plugin], graph, contents: DataFrame, gated
     out = None
     for p in plugins:
         if p.findings:
-            rows = p.findings(graph, contents).withColumn("rule", F.concat(F.lit(f"plugin:{p.id}/"), "rule"))
+            rows = p.findings(graph, view(p, contents)).withColumn("rule", F.concat(F.lit(f"plugin:{p.id}/"), "rule"))
             out = rows if out is None else out.unionByName(rows)
     return None if out is None else cap_per_rule(out).withColumn("advisory", ~F.col("rule").isin(*gated) if gated else F.lit(True))
 
@@ -118,8 +145,11 @@ def _attribute_functions(graph, contents: DataFrame) -> DataFrame:
 
 def _generated_styles(graph, contents: DataFrame) -> DataFrame:
     """Output files of a style compiler, by the source and output folders that a build file states."""
-    pom = _text(contents, "**/pom.xml").where("text like '%libsass%'").select(F.regexp_extract("text", r"<outputPath>(?:\$\{[^}]*\}/)?([^<]+)</outputPath>", 1).alias("out"))
-    return graph.files.join(F.broadcast(pom), (F.col("out") != "") & F.contains("path", F.col("out"))).select("path").distinct()  # build files are few
+    pom = _text(contents, "**/pom.xml").where("text like '%libsass%'").select(F.regexp_replace(F.regexp_extract("text", r"<outputPath>(?:\$\{[^}]*\}/)?([^<]+)</outputPath>", 1), "^/|/$", "").alias("out")).where("out <> ''").distinct()
+    # an equi-join on every folder name chain above a file
+    dirs = graph.files.select("path", F.explode(ancestors(F.col("path"))).alias("dir")).where("dir <> ''")
+    ends = dirs.select("path", "dir", F.split("dir", "/").alias("p")).select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda n: F.array_join(F.slice("p", -n, n), "/"))).alias("out"))
+    return ends.join(pom, "out").select("path").distinct()
 
 
 BUILTIN = [

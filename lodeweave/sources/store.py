@@ -10,7 +10,7 @@ from . import extract
 from .discover import tree_key
 
 #: Raised whenever facts of the same content would come out differently.
-FACTS_VERSION = 1
+FACTS_VERSION = 2
 TABLES = ("files", "symbols", "imports", "edges", "roots", "shapes", "packages", "declared", "scripts", "surface", "pragmas", "coverage", "diagnostics")
 
 
@@ -54,6 +54,19 @@ def load(spark: SparkSession, tree: DataFrame, folder: str):
     return Graph(*[spark.read.parquet(f"{base}/{name}") for name in TABLES]) if exists(spark, f"{base}/{TABLES[-1]}/_SUCCESS") else None
 
 
+def latest(spark: SparkSession, folder: str):
+    """The graph that was stored last, of whatever tree, or None."""
+    from ..plans.check import Graph
+
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/snapshots")
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [s for s in (fs.listStatus(top) if fs.exists(top) else []) if exists(spark, f"{s.getPath().toString()}/{TABLES[-1]}/_SUCCESS")]
+    if not done:
+        return None
+    base = max(done, key=lambda s: (s.getModificationTime(), s.getPath().getName())).getPath().toString()
+    return Graph(*[spark.read.parquet(f"{base}/{name}") for name in TABLES])
+
+
 def prune(spark: SparkSession, folder: str, most_bytes: int = 256 << 20) -> list[str]:
     """Delete the snapshots that were used longest ago until the rest fit; their names."""
     jvm = spark._jvm

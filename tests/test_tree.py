@@ -46,6 +46,24 @@ PROJECTS = {
         },
         {("internal-only", "function", "r.ts", "helper"), ("private-type-leak", "function", "r.ts", "run")},
     ),
+    "chains": (
+        {
+            "package.json": '{"name":"x","main":"m.ts"}',
+            "m.ts": "import {Box, Foo} from './t';\nexport function m(b: Box<Foo>) {\n  b.value.go();\n  return b.get().stop();\n}\n",
+            "t.ts": "export class Box<T> {\n  value: T;\n  get(): T { return this.value; }\n}\nexport class Foo {\n  go(): void { run(1); }\n  stop(): void { run(2); }\n  idle(): void { run(3); }\n}\nclass Other {\n  go(): void { run(4); }\n}\nfunction run(n) { return n; }\n",
+        },
+        {("unused", "method", "t.ts", "Foo.idle"), ("unused", "class", "t.ts", "Other"), ("unused", "method", "t.ts", "Other.go"), ("private-type-leak", "function", "m.ts", "m")},
+    ),
+    "crate": (
+        {
+            "Cargo.toml": '[package]\nname = "x"\n[dependencies]\nserde_json = "1"\nrand = "0.8"\n',
+            "src/main.rs": "mod a;\nmod used;\n#[cfg(test)]\nmod checks;\nuse crate::a::go;\nfn main() {\n    go();\n}\n",
+            "src/a.rs": "use serde_json::Value;\nuse std::fmt::Debug;\nuse crate::used::help;\npub fn go() {\n    help();\n}\nfn lost() {\n    help();\n}\n",
+            "src/used/mod.rs": "pub fn help() {\n}\n",
+            "src/checks.rs": "use crate::a::go;\nfn test_go() {\n    go();\n}\n",
+        },
+        {("unused", "function", "src/a.rs", "lost"), ("unused", "dependency", "Cargo.toml", "rand"), ("untested", "file", "src/main.rs", None)},
+    ),
     "suppressed": (
         {"package.json": '{"name":"x","main":"m.ts"}', "m.ts": "export const m = 1;\n// weave:allow unused kept for later\nfunction old() { return 1; }\n// weave:allow unused\nconst y = 2;\nexport const z = y;\n"},
         {("stale", "suppression", "m.ts", None)},
@@ -59,7 +77,7 @@ def write(root, files):
         (root / path).write_text(text)
 
 
-@pytest.mark.parametrize("names", [("cyclic", "clones", "crap", "suppressed", "visibility"), ("hygiene",), ("monorepo",)])
+@pytest.mark.parametrize("names", [("cyclic", "clones", "crap", "suppressed", "visibility"), ("hygiene",), ("monorepo",), ("chains",), ("crate",)])
 def test_golden(spark, tmp_path, names):
     """Projects side by side are packages of their own; those whose findings would mix stand alone."""
     want = set()
@@ -69,8 +87,6 @@ def test_golden(spark, tmp_path, names):
         write(tmp_path, {below + k: v.replace('"name":"x"', f'"name":"{name}"').replace("SF:", "SF:" + below) for k, v in files.items()})
         want |= {(c, k, below + p, s) for c, k, p, s in found}
     got = {(r.category, r.subject_kind, r.path, r.symbol) for r in check(spark, str(tmp_path)).findings.collect()}
-    if names == ("monorepo",):  # workspace members count as declared uses of each other
-        got = {g for g in got if g[0] != "unused"}
     assert got == want
 
 
