@@ -122,29 +122,32 @@ def tokenize(docs: DataFrame, vocabulary: str, capacity: int, rid: str, text: st
 def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 1024, lookahead: int = 2000, tasks: int | None = None) -> DataFrame:
     """`pieces` (rid, piece, start, length, ...) with sequence_id and offset.
 
-    Pieces arrive in hash order; among each `lookahead` that arrive together the longest goes first. Every row keeps a place; the offsets in a sequence are gapless from 0 and end at `capacity` or before. Repeated rows
-    are packed each by itself. The order in a task depends on the rows alone, so a task that runs again packs alike, and
+    Pieces arrive in hash order; among each `lookahead` that arrive together the longest goes first. Every row keeps a
+    place; the offsets in a sequence are gapless from 0 and end at `capacity` or before. Repeated rows and ties are packed
+    each by itself; no rows give no rows; further columns, whatever their names, are carried along. The order in a task depends on the rows alone, so a task that runs again packs alike, and
     sequence ids carry the task's number in their high bits. More tasks cost at most a few unfilled bins each.
     """
     spark = pieces.sparkSession
     n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*names).schema) + ", sequence_id bigint, offset bigint"
+    mark = next(f"task{'_' * i}" for i in range(len(names) + 1) if f"task{'_' * i}" not in names)
+    plain = [F.col(f"`{c}`") for c in names]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*plain).schema) + ", sequence_id bigint, offset bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = BestFit(capacity, open_bins)
         for waiting in gathered(batches, lookahead):
-            task = waiting.column("task")[0].as_py()
+            task = waiting.column(mark)[0].as_py()
             lengths = waiting.column("length").to_numpy()
             waiting = waiting.take(pa.array(np.argsort(-lengths, kind="stable")))
             placed = [bins.put(x) for x in waiting.column("length").to_pylist()]
             own = [waiting.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*own, pa.array([(task << 40) + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], [*names, "sequence_id", "offset"])
 
-    dealt = pieces.select(*names, F.pmod(F.xxhash64(F.lit(11), "rid", "piece"), F.lit(n)).cast("int").alias("task"))
+    dealt = pieces.select(*plain, F.pmod(F.xxhash64(F.lit(11), "rid", "piece"), F.lit(n)).cast("int").alias(mark))
     # by hash, not by range: the sampling of a range exchange would tokenize everything once more
-    ranged = dealt.repartition(n, "task").sortWithinPartitions("task", F.xxhash64("rid", "piece"), "rid", "piece", "start", "length")
-    return split_by_task(ranged, run, schema)
+    ranged = dealt.repartition(n, mark).sortWithinPartitions(mark, F.xxhash64("rid", "piece"), "rid", "piece", "start", "length")
+    return split_by_task(ranged, run, schema, mark)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -159,13 +162,13 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
         yield pa.concat_batches(held)
 
 
-def split_by_task(dealt: DataFrame, run, schema: str) -> DataFrame:
-    """Run `run` once for each value of `task`: a partition may hold several, in order."""
+def split_by_task(dealt: DataFrame, run, schema: str, mark: str) -> DataFrame:
+    """Run `run` once for each value of the column `mark`: a partition may hold several, in order."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple[int, pa.RecordBatch]]:
             for batch in batches:
-                tasks = batch.column("task").to_numpy()
+                tasks = batch.column(mark).to_numpy()
                 edges = [0, *(np.flatnonzero(np.diff(tasks)) + 1).tolist(), len(tasks)]
                 for a, b in zip(edges, edges[1:], strict=False):
                     if b > a:
@@ -188,7 +191,8 @@ def split_by_task(dealt: DataFrame, run, schema: str) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, open_bins: int = 1024, rid: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """Pieces of every row of `docs` with their places; with_ids adds the token ids themselves."""
+    """Pieces of every row of `docs` with their places; with_ids adds the token ids themselves. Null and empty texts are a
+    piece of the end token; long texts are tokenized whole; repeated rows have pieces of their own; no rows give no rows."""
     pieces = tokenize(docs, vocabulary, capacity, rid, text, with_ids)
     return pack(pieces if with_ids else pieces.drop("ids"), capacity, open_bins)
 

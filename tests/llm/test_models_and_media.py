@@ -224,3 +224,38 @@ def test_added_tokens_have_the_ids_of_an_untouched_tokenizer():
     for t in ["<|endoftext|>", "a<|endoftext|> b", " <|endoftext|><|endoftext|>\n", "<|endoftext", *(words(i, 50) + "<|endoftext|>" * (i % 3) + words(i + 1, 9) for i in range(9))]:
         assert fast(t) == plain.encode(t, add_special_tokens=False).ids
     assert fast("<|endoftext|>") == [50256]
+
+
+def best_fit_by_hand(lengths, capacity, open_bins):
+    """Sequences by definition: every piece to the open bin with the least room that holds it, lists searched one by one."""
+    bins, closed, out = [], 0, []
+    for x in lengths:
+        fits = [b for b in bins if b[1] >= x]
+        if fits:
+            least = min(b[1] for b in fits)
+            b = [b for b in fits if b[1] == least][-1]
+            bins.remove(b)
+        else:
+            if len(bins) == open_bins:
+                fullest = min(b[1] for b in bins)
+                bins.remove([b for b in bins if b[1] == fullest][-1])
+            b = [closed, capacity]
+            closed += 1
+        out.append((b[0], capacity - b[1]))
+        b[1] -= x
+        if b[1]:
+            bins.append(b)
+    return out
+
+
+def test_packing_equals_a_naive_best_fit(spark):
+    rng = np.random.default_rng(4)
+    for open_bins in (1, 3, 50):
+        lengths = rng.integers(1, 65, 700).tolist()
+        bins = packing.BestFit(64, open_bins)
+        assert [bins.put(x) for x in lengths] == best_fit_by_hand(lengths, 64, open_bins)
+    rows = [(i % 40, i, 0, int(x), f"t{i}") for i, x in enumerate(rng.integers(1, 65, 300))]
+    pieces = spark.createDataFrame(rows, "rid bigint, piece int, start bigint, length bigint, task string")
+    got = packing.pack(pieces, 64, 8, lookahead=1, tasks=1).collect()
+    assert got[0].__fields__ == [*pieces.columns, "sequence_id", "offset"] and {r.task for r in got} == {r[4] for r in rows}
+    assert [(r.sequence_id, r.offset) for r in got] == best_fit_by_hand([r.length for r in got], 64, 8)
