@@ -12,6 +12,7 @@ from ..functions.paths import dirname
 from ..operators import analyses, assemble, coverage, graph, health, navigate, report
 from ..schema import CATEGORIES
 from . import projections as P
+from .check import tallies
 from .lineage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -859,6 +860,53 @@ def incremental_refresh(spark, sf_dir):
     return graph.colors(all_nodes(spark, sf_dir), graph.widest_paths(kept, P.part_roots(spark, sf_dir))).select("node", "color", "confidence")
 
 
+_KINDS = ["function", "file", "dependency", "class", "method", "directory", "variable"]
+_AXIS_SQL = {
+    "unused-symbols": ("category = 'unused' AND code", "symbol"), "unused-files": ("category = 'unused' AND subject_kind = 'file'", "file"),
+    "unused-dependencies": ("category IN ('unused', 'test-only') AND subject_kind = 'dependency'", "declared"), "test-only": ("category = 'test-only' AND (code OR subject_kind = 'file')", "symbol"),
+    "cycles": ("category = 'cyclic'", "file"), "internal-only": ("category = 'internal-only'", "exported"), "untested": ("category = 'untested' AND code", "production"),
+    "duplication": ("category = 'duplicate' AND subject_kind = 'function'", "shape"), "crap": ("category = 'crap'", "shape"),
+}
+
+
+@query(
+    f"""WITH f AS (SELECT [{", ".join(f"'{x}'" for x in CATEGORIES)}][l_partkey % {len(CATEGORIES)} + 1] AS category, [{", ".join(f"'{x}'" for x in _KINDS)}][l_linenumber % {len(_KINDS)} + 1] AS subject_kind, 'n:' || s_nationkey AS package
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+g AS (SELECT *, subject_kind IN ('function', 'class', 'method', 'variable') AS code FROM f),
+whole AS (SELECT 'symbol' AS k, 'n:' || c_nationkey AS package FROM customer UNION ALL SELECT 'exported', 'n:' || c_nationkey FROM customer WHERE c_custkey % 3 = 0
+  UNION ALL SELECT 'production', 'n:' || c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'file', 'n:' || s_nationkey FROM supplier
+  UNION ALL SELECT 'declared', 'n:' || n_nationkey FROM nation UNION ALL SELECT 'shape', 'n:' || c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey),
+a(axis, k) AS (VALUES {", ".join(f"('{a}', '{k}')" for a, (_, k) in _AXIS_SQL.items())}),
+u AS ({" UNION ALL ".join(f"SELECT '{a}' AS axis, package, 1 AS part, 0 AS whole FROM g WHERE {w}" for a, (w, _) in _AXIS_SQL.items())} UNION ALL SELECT axis, package, 0, 1 FROM whole JOIN a USING (k))
+SELECT package, axis, CAST(sum(part) AS BIGINT) AS part, CAST(sum(whole) AS BIGINT) AS whole FROM u GROUP BY 1, 2"""
+)
+def health_tallies(spark, sf_dir):
+    """The nine tallies of a run, over findings, symbols, files, dependencies, shapes and colours of projected tables."""
+    pick = lambda names, key: F.element_at(F.array(*map(F.lit, names)), (key % len(names) + 1).cast("int"))
+    supplier = P.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), P.tag("n:", "s_nationkey").alias("package"))
+    findings = P.table(spark, sf_dir, "lineitem").join(supplier, "l_suppkey").select(pick(CATEGORIES, F.col("l_partkey")).alias("category"), pick(_KINDS, F.col("l_linenumber")).alias("subject_kind"), "package")
+    customer = P.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", P.tag("n:", "c_nationkey").alias("package"))
+    symbols = customer.select(P.tag("c:", "c_custkey").alias("node"), "package", (F.col("c_custkey") % 3 == 0).alias("exported"))
+    colors = customer.select(P.tag("c:", "c_custkey").alias("node"), F.when(F.col("c_mktsegment") == "BUILDING", "production").otherwise("unreachable").alias("color"))
+    declared = P.table(spark, sf_dir, "nation").select(P.tag("n:", "n_nationkey").alias("package"))
+    shapes = P.table(spark, sf_dir, "orders").join(customer.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").select("package")
+    return tallies(findings, symbols, supplier.select("package"), declared, shapes, colors)
+
+
+@query(
+    f"""WITH RECURSIVE {P.PART_EDGES}, w AS (SELECT src, list_min(list(dst)) AS dst FROM edges WHERE src <> dst GROUP BY 1),
+paths AS (SELECT src AS anchor, dst AS node, [src, dst] AS cycle FROM edges WHERE src <> dst AND src IN (SELECT anchor FROM ({_CYCLES.format(head="", e="edges").replace(", paths AS", "WITH RECURSIVE paths AS", 1)}))
+  UNION SELECT p.anchor, e.dst, list_append(p.cycle, e.dst) FROM paths p JOIN edges e ON e.src = p.node WHERE p.node <> p.anchor AND e.src <> e.dst AND (e.dst = p.anchor OR NOT list_contains(p.cycle, e.dst)) AND len(p.cycle) < 12)
+SELECT anchor, array_to_string(cycle, ' > ') AS cycle FROM paths WHERE node = anchor QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY len(cycle), cycle) = 1"""
+)
+def cycle_evidence(spark, sf_dir):
+    """A shortest cycle through the anchor of each group."""
+    edges = cut(P.part_edges(spark, sf_dir))
+    parts = cut(graph.strong_components(edges))
+    found = analyses.shortest_cycles(edges, analyses.cycles(edges, parts=parts), parts)
+    return found.select("anchor", F.array_join("cycle", " > ").alias("cycle"))
+
+
 # the loops that are built for size, on the same graphs: no graph is worked on in one task
 
 

@@ -205,7 +205,7 @@ def types_of(facts: Facts, tokens: list[Token], language: str) -> None:
             if params and params != [""]:
                 facts.generics.append({"type": at(i + 1), "params": params})
         after = at(i + 1)
-        if after in (":", "?:") or after == "?" and at(i + 2) == ":":
+        if after in (":", "?:") and at(i + 2) != "=" or after == "?" and at(i + 2) == ":":
             found, of = type_text(tokens, i + (3 if after == "?" else 2))[0], i
         elif after == "=" and at(i + 2) == "new":
             found, of = type_text(tokens, i + 3)[0], i
