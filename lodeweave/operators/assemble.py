@@ -364,9 +364,11 @@ def chained_members(chains: DataFrame, fields: DataFrame, generics: DataFrame |
 
 def surface_signature(facts: DataFrame) -> DataFrame:
     """(path, surface): a digest of what other files depend on, without lines, so that a shift leaves it as it is."""
-    shown = F.transform("facts.declarations", lambda d: F.struct(d["name"], d["kind"], d["exported"], d["member_of"], d["visibility"], d["implements"]))
+    shown = F.transform("facts.declarations", lambda d: F.struct(d["name"], d["kind"], d["exported"], d["member_of"], d["visibility"], d["implements"], d["markers"]))
+    held = F.transform(F.filter("facts.types", lambda t: t["owner"].isNotNull()), lambda t: F.struct(t["owner"], t["name"], t["type"]))
+    gates = F.transform("facts.gates", lambda g: F.struct(g["module"], g["gated"]))
     brought = F.transform("facts.imports", lambda i: F.struct(i["specifier"], i["name"], i["alias"], i["reexport"]))
-    return facts.select("path", F.sha2(F.to_json(F.struct(F.array_sort(shown).alias("d"), F.array_sort(brought).alias("i"), F.col("facts.unit").alias("u"))), 256).alias("surface"))
+    return facts.select("path", F.sha2(F.to_json(F.struct(F.array_sort(shown).alias("d"), F.array_sort(brought).alias("i"), F.array_sort(held).alias("t"), F.array_sort(gates).alias("g"), F.col("facts.roots").alias("r"), F.col("facts.unit").alias("u"))), 256).alias("surface"))
 
 
 def is_stdlib(specifier: Column, prefixes: list[str], names: list[str]) -> Column:

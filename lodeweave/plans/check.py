@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fingerprints import finding_id, grams, winnow
@@ -14,6 +14,7 @@ from ..operators import analyses, assemble, coverage, graph, health, report
 from ..schema import CERTAIN, POSSIBLE, PROBABLE, SEVERITY
 from ..sources import coverage_formats, discover, extract, manifests
 from ..sources.config import Settings
+from ..streaming.incremental import can_patch, replace_owned
 from . import plugins
 from .lineage import cut
 
@@ -51,6 +52,7 @@ class Graph:
     pragmas: DataFrame
     coverage: DataFrame
     diagnostics: DataFrame
+    texts: DataFrame
     plugin_findings: DataFrame | None = None
 
     def nodes(self) -> DataFrame:
@@ -67,9 +69,10 @@ def join_path(folder, name):
     return F.when(folder == "", name).otherwise(F.concat(folder, F.lit("/"), name))
 
 
-def assemble_graph(spark: SparkSession, tree: DataFrame, settings: Settings | None = None, facts: DataFrame | None = None, known_plugins: list[plugins.Plugin] | None = None) -> Graph:
+def assemble_graph(spark: SparkSession, tree: DataFrame, settings: Settings | None = None, facts: DataFrame | None = None, known_plugins: list[plugins.Plugin] | None = None, before: Graph | None = None, changed: DataFrame | None = None) -> Graph:
     """The graph of a discovered tree (path, content_hash, content, perhaps modified); facts: those of its files, where they
-    are known already."""
+    are known already. before, changed: a graph of the same files, and the (owner) paths whose contents are others now; the
+    imports and edges of all other files are taken from it."""
     settings = settings or Settings()
     tree = cut(tree.select("path", "content_hash", "content", *[c for c in ("modified",) if c in tree.columns]))
     facts = cut(extract.facts_of(tree) if facts is None else facts)
@@ -96,6 +99,8 @@ def assemble_graph(spark: SparkSession, tree: DataFrame, settings: Settings | No
     symbols = cut(d.withColumn("sym", F.concat("path", F.lit("#"), label, F.lit("@"), F.col("first").cast("string"))).join(files.select("path", "package", "unit", "role", "origin"), "path"))
 
     sites = facts.select("path", F.explode("facts.imports").alias("i")).select("path", "i.*").join(files.select("path", "language", "package", "origin", "role"), "path")
+    only = lambda df: df if changed is None else df.join(changed.select(F.col("owner").alias("path")), "path", "left_semi")
+    sites = only(sites)
     declared = rows.where("kind = 'dependency'").select("package", "manifest", "name", F.col("value").alias("version_req"), "scope", "ordinal")
     declared = cut(assemble.inherit_versions(declared, rows.where("kind = 'pool'").select("name", F.col("value").alias("version_req"))))
     entries = rows.where("kind = 'entry'").groupBy("package").agg(F.min_by("name", "ordinal").alias("entry"))
@@ -115,7 +120,10 @@ def assemble_graph(spark: SparkSession, tree: DataFrame, settings: Settings | No
     met = met.withColumn("wanted", F.when(F.col("language") == "rust", crate).otherwise(F.regexp_replace("specifier", "_", "-"))).join(needs, ["package", "wanted"], "left")
     resolution = F.when(F.col("target").isNotNull(), "file").when(F.col("go_dir").isNotNull(), "workspace-member").when(F.coalesce(library, F.lit(False)), "stdlib").when(F.col("declared").isNotNull(), "dependency").otherwise("unresolved")
     compiled = met.withColumn("resolution", resolution).withColumn("target", F.coalesce("target", F.when(F.col("resolution") == "dependency", F.col("declared"))))
-    imports = cut(script.unionByName(compiled.select(*script.columns)))
+    imports = script.unionByName(compiled.select(*script.columns))
+    if before is not None:
+        imports = before.imports.join(changed.select(F.col("owner").alias("path")), "path", "left_anti").select(*imports.columns).unionByName(imports)
+    imports = cut(imports)
 
     reexports = imports.where("reexport and resolution in ('file', 'workspace-member')")
     tops = symbols.where("member_of is null and exported").select(F.col("path").alias("file"), "name", "sym")
@@ -123,7 +131,7 @@ def assemble_graph(spark: SparkSession, tree: DataFrame, settings: Settings | No
     names = cut(assemble.reexport_fixpoint(tops, pending))
 
     refs = facts.select("path", F.explode("facts.references").alias("r")).select("path", "r.*").join(files.select("path", "language", "package", "unit"), "path")
-    refs = cut(refs.distinct().withColumn("ref", F.monotonically_increasing_id()))
+    refs = cut(only(refs).distinct().withColumn("ref", F.monotonically_increasing_id()))
     bound = imports.where("resolution in ('file', 'workspace-member') and alias is not null").select(F.col("path").alias("at"), F.col("alias").alias("known_as"), F.col("name").alias("imported"), F.col("target").alias("file"))
     by_import = refs.join(bound, (F.col("path") == F.col("at")) & (F.col("name") == F.col("known_as"))).join(names.withColumnRenamed("name", "n"), ["file"]).where("imported = n or imported = 'default' or imported = '*'").select("ref", F.col("sym").alias("target"))
     # a module bound under a name brings the modules bound in it, one hop on
@@ -154,7 +162,8 @@ def assemble_graph(spark: SparkSession, tree: DataFrame, settings: Settings | No
     opened = maybe.select(F.lit("wildcard").alias("ekind"), F.col("dst").alias("src"), none().alias("dst"), none().alias("rk"), F.lit(POSSIBLE).alias("c"), F.col("dst").alias("owner"), F.lit(None).cast("int").alias("line"))
     stated_edges = uses.union(to_file).union(dynamic).union(opened)
     adapters = files.select(F.col("path").alias("owner"), F.concat(F.lit("adapter:"), "language").alias("source"))
-    edges = cut(stated_edges.join(adapters, "owner", "left").select(*stated_edges.columns, "source"))
+    edges = stated_edges.join(adapters, "owner", "left").select(*stated_edges.columns, "source")
+    edges = cut(edges if before is None else patched_edges(before, symbols, edges, changed))
 
     targets = rows.where("kind = 'entry'").select(join_path(F.col("package"), F.col("name")).alias("wanted"), F.col("scope").alias("key"))
     candidates = targets.select("wanted", F.posexplode(assemble.script_candidates(F.lit(""), F.concat(F.lit("/"), "wanted"))).alias("at", "path")).join(files.select("path"), "path")
@@ -184,10 +193,24 @@ def assemble_graph(spark: SparkSession, tree: DataFrame, settings: Settings | No
     pragmas = facts.select("path", F.explode("facts.pragmas").alias("p")).select("path", "p.*")
     pragmas = pragmas.select(F.concat("path", F.lit(":"), F.col("line").cast("string"), F.lit(":"), "category").alias("pragma"), "path", "line", F.col("line").alias("last_line"), "category", "subject", "scope")
     problems = facts.select("path", F.explode("facts.diagnostics").alias("message")).union(rows.where("kind = 'diagnostic'").select("manifest", "name"))
-    g = Graph(files, symbols, imports, edges, roots, cut(shapes), packages, declared, scripts, surface, cut(pragmas), read_coverage(tree, files, max_age=settings.max_age_seconds), problems)
+    g = Graph(files, symbols, imports, edges, roots, cut(shapes), packages, declared, scripts, surface, cut(pragmas), read_coverage(tree, files, max_age=settings.max_age_seconds), problems, facts.select("path", F.explode("facts.texts").alias("t")).select("path", "t.*"))
     return with_plugins(g, tree, plugins.BUILTIN if known_plugins is None else known_plugins)
 
 
+def patched_edges(before: Graph, symbols: DataFrame, fresh: DataFrame, changed: DataFrame) -> DataFrame:
+    """The edges of a graph with those of changed owners replaced by fresh ones; edges of others that end at a symbol of a
+    changed file follow it to its new line. Wildcards are stated by those who open them and are all made anew."""
+    label = F.concat_ws(".", "member_of", "name")
+
+    def nth(rows: DataFrame, name: str) -> DataFrame:
+        own = rows.join(changed.select(F.col("owner").alias("path")), "path", "left_semi")
+        return own.select("path", label.alias("label"), F.row_number().over(Window.partitionBy("path", label).orderBy("first")).alias("nth"), F.col("sym").alias(name))
+
+    moved = nth(before.symbols, "was").join(nth(symbols, "now"), ["path", "label", "nth"]).select("was", "now")
+    old = before.edges.where("ekind <> 'wildcard' and not coalesce(source, '') like 'plugin:%'").join(moved, F.col("dst") == F.col("was"), "left").withColumn("dst", F.coalesce("now", "dst")).drop("was", "now")
+    return replace_owned(old, changed, fresh.join(changed, "owner", "left_semi")).union(fresh.where("ekind = 'wildcard'")).distinct()
+
+
 def chained_uses(facts: DataFrame, refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """(ref, target): members at the end of chains `a.b.c`, by the type that `a` is known to hold where it is used (its last
     mention before), or by the type around `this` and `self`."""
@@ -452,16 +475,31 @@ class Result:
 
 
 def stored_graph(spark: SparkSession, tree: DataFrame, settings: Settings, folder: str, known_plugins: list[plugins.Plugin] | None = None) -> Graph:
-    """The graph of a tree from its stored snapshot, or assembled from stored facts and then stored."""
+    """The graph of a tree: its stored snapshot; or the one stored last, patched, where a patch gives what a full run would;
+    or assembled from stored facts. Then stored."""
     from ..sources import store
 
+    if (g := store.load(spark, tree, folder)) is not None:
+        return g
     tree = cut(tree)
-    if (g := store.load(spark, tree, folder)) is None:
-        g = assemble_graph(spark, tree, settings, store.facts(spark, tree, folder), known_plugins)
-        store.save(g, tree, folder)
+    facts = cut(store.facts(spark, tree, folder))
+    now = cut(surfaces(tree, facts))
+    last, was = store.latest(spark, folder), store.last_surfaces(spark, folder)
+    if last is not None and was is not None and can_patch(was, now):
+        changed = cut(was.select(F.col("path").alias("owner"), F.col("content_hash").alias("h")).join(now.select(F.col("path").alias("owner"), "content_hash"), "owner").where("h <> content_hash").select("owner"))
+        g = assemble_graph(spark, tree, settings, facts, known_plugins, last, changed)
+    else:
+        g = assemble_graph(spark, tree, settings, facts, known_plugins)
+    store.save(g, tree, folder, now)
     return g
 
 
+def surfaces(tree: DataFrame, facts: DataFrame) -> DataFrame:
+    """(path, content_hash, surface, is_manifest) of all files: what a patch must leave as it is."""
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    return tree.select("path", "content_hash", name.isin(*manifests.PARSERS).alias("is_manifest")).join(assemble.surface_signature(facts), "path", "left").select("path", "content_hash", "surface", "is_manifest")
+
+
 def provenance_of(g: Graph, findings: DataFrame) -> DataFrame:
     """(id, sources): the adapter of each finding's file, and who contributed an edge at its symbol or file."""
     label = F.concat_ws(".", "member_of", "name")
@@ -476,7 +514,8 @@ def check(spark: SparkSession, root: str, settings: Settings | None = None, tree
 
     stored: a folder of facts and snapshots, which unchanged files and trees are taken from."""
     settings = settings or Settings()
-    tree = discover.discover(spark, root) if tree is None else tree
+    if tree is None:
+        tree = discover.discover(spark, root) if stored is None else discover.discover_with_stat(spark, root, stored)
     g = stored_graph(spark, tree, settings, stored, known_plugins) if stored else assemble_graph(spark, tree, settings, known_plugins=known_plugins)
     found, colors, _ = analyse(g, settings)
     kept = cut(report.report_filter(suppressed(g, found), settings.only or None, settings.skip or None, settings.min_confidence).where("fate = 'shown'").drop("fate"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import re
 import subprocess
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +91,18 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("path", F.sha2("content", 256).alias("content_hash"), "length", "modified", "content")
 
 
+def discover_with_stat(spark: SparkSession, root: str, folder: str) -> DataFrame:
+    """discover(), with the hashes of files whose time and length are as in the listing stored in `folder` taken from there:
+    their contents are read only by who asks for them."""
+    from .store import last_listing
+
+    files, listing = discover(spark, root), last_listing(spark, folder)
+    if listing is None:
+        return files
+    known = unchanged(files.select("path", "length", "modified"), listing)
+    return files.join(known, "path", "left").withColumn("content_hash", F.when(F.col("known_hash").isNotNull(), F.col("known_hash")).otherwise(F.col("content_hash"))).drop("known_hash")
+
+
 def git(repository: str, *arguments: str, data: bytes | None = None) -> bytes:
     return subprocess.run(["git", "-C", repository, *arguments], input=data, capture_output=True, check=True).stdout
 
@@ -102,20 +116,34 @@ def write_tree(repository: str) -> str:
     return git(repository, "write-tree").decode().strip()
 
 
-def discover_git(spark: SparkSession, repository: str, treeish: str, prefix: str = "") -> DataFrame:
-    """The files of a commit or tree, below `prefix`, as discover() gives them; one listing and one batch of blobs."""
-    listing = git(repository, "ls-tree", "-r", "-z", treeish, *([prefix] if prefix else [])).decode()
-    entries = [(e.split("\t", 1)[1], e.split()[2]) for e in listing.split("\0") if e and e.split()[1] == "blob"]
-    out = git(repository, "cat-file", "--batch", data="".join(f"{o}\n" for _, o in entries).encode())
-    rows, at = [], 0
-    for path, _ in entries:
+def _blobs(repository: str, ids: list[str]) -> list[bytes]:
+    """Contents of the blobs, in order, by one call."""
+    out, at, found = git(repository, "cat-file", "--batch", data="".join(f"{o}\n" for o in ids).encode()) if ids else b"", 0, []
+    for _ in ids:
         end = out.index(b"\n", at)
         size = int(out[at:end].split()[2])
-        rows.append((path[len(prefix) :].lstrip("/"), size, None, out[end + 1 : end + 1 + size]))
+        found.append(out[end + 1 : end + 1 + size])
         at = end + 2 + size
-    texts = {r[0]: r[3].decode("utf-8", "replace") for r in rows if r[0].rpartition("/")[2] in IGNORE_FILES}
-    kept = set(_keep([r[0] for r in rows], texts))
-    return spark.createDataFrame([r for r in rows if r[0] in kept], SNAPSHOT_RAW).select("path", F.sha2("content", 256).alias("content_hash"), "length", "modified", "content")
+    return found
+
+
+def discover_git(spark: SparkSession, repository: str, treeish: str, prefix: str = "") -> DataFrame:
+    """The files of a commit or tree, below `prefix`, as discover() gives them.
+
+    Names and ignore files are read on the driver; blobs by the executors, which must see the repository under its path."""
+    listing = git(repository, "ls-tree", "-r", "-z", treeish, *([prefix] if prefix else [])).decode()
+    entries = {e.split("\t", 1)[1][len(prefix) :].lstrip("/"): e.split()[2] for e in listing.split("\0") if e and e.split()[1] == "blob"}
+    rules = [p for p in entries if p.rpartition("/")[2] in IGNORE_FILES]
+    texts = dict(zip(rules, (b.decode("utf-8", "replace") for b in _blobs(repository, [entries[p] for p in rules])), strict=True))
+    kept = _keep(list(entries), texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents = _blobs(repository, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(c) for c in contents], pa.int64()), pa.array(contents, pa.binary())], ["path", "length", "content"])
+
+    rows = spark.createDataFrame([(p, entries[p]) for p in kept], "path string, blob string").mapInArrow(run, "path string, length bigint, content binary")
+    return rows.select("path", F.sha2("content", 256).alias("content_hash"), "length", F.lit(None).cast("timestamp").alias("modified"), "content")
 
 
 def named(files: DataFrame, names: list[str]) -> DataFrame:

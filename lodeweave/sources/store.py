@@ -11,7 +11,7 @@ from .discover import tree_key
 
 #: Raised whenever facts of the same content would come out differently.
 FACTS_VERSION = 2
-TABLES = ("files", "symbols", "imports", "edges", "roots", "shapes", "packages", "declared", "scripts", "surface", "pragmas", "coverage", "diagnostics")
+TABLES = ("files", "symbols", "imports", "edges", "roots", "shapes", "packages", "declared", "scripts", "surface", "pragmas", "coverage", "diagnostics", "texts")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -38,11 +38,16 @@ def facts(spark: SparkSession, tree: DataFrame, folder: str) -> DataFrame:
     return old.unionByName(fresh).dropDuplicates(["path"])
 
 
-def save(graph, tree: DataFrame, folder: str) -> str:
-    """Store a graph under the key of its tree; the key."""
+def save(graph, tree: DataFrame, folder: str, surfaces: DataFrame | None = None) -> str:
+    """Store a graph under the key of its tree, with the tree's listing and surfaces for the next run; the key."""
     key = tree_key(tree)
     for name in TABLES:
         getattr(graph, name).write.mode("overwrite").parquet(f"{folder}/snapshots/{key}/{name}")
+    if surfaces is not None:
+        surfaces.write.mode("overwrite").parquet(f"{folder}/snapshots/{key}/surfaces")
+    listing = tree.select("path", "content_hash", *[F.col(c) for c in ("length", "modified") if c in tree.columns])
+    if "modified" in tree.columns:
+        cut(listing.withColumn("taken", F.current_timestamp())).write.mode("overwrite").parquet(f"{folder}/listing")
     return key
 
 
@@ -54,17 +59,30 @@ def load(spark: SparkSession, tree: DataFrame, folder: str):
     return Graph(*[spark.read.parquet(f"{base}/{name}") for name in TABLES]) if exists(spark, f"{base}/{TABLES[-1]}/_SUCCESS") else None
 
 
+def _last(spark: SparkSession, folder: str) -> str | None:
+    """The folder of the snapshot that was stored last and wholly."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/snapshots")
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [s for s in (fs.listStatus(top) if fs.exists(top) else []) if exists(spark, f"{s.getPath().toString()}/{TABLES[-1]}/_SUCCESS")]
+    return max(done, key=lambda s: (s.getModificationTime(), s.getPath().getName())).getPath().toString() if done else None
+
+
 def latest(spark: SparkSession, folder: str):
     """The graph that was stored last, of whatever tree, or None."""
     from ..plans.check import Graph
 
-    top = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/snapshots")
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = [s for s in (fs.listStatus(top) if fs.exists(top) else []) if exists(spark, f"{s.getPath().toString()}/{TABLES[-1]}/_SUCCESS")]
-    if not done:
-        return None
-    base = max(done, key=lambda s: (s.getModificationTime(), s.getPath().getName())).getPath().toString()
-    return Graph(*[spark.read.parquet(f"{base}/{name}") for name in TABLES])
+    base = _last(spark, folder)
+    return Graph(*[spark.read.parquet(f"{base}/{name}") for name in TABLES]) if base else None
+
+
+def last_surfaces(spark: SparkSession, folder: str) -> DataFrame | None:
+    base = _last(spark, folder)
+    return spark.read.parquet(f"{base}/surfaces") if base and exists(spark, f"{base}/surfaces") else None
+
+
+def last_listing(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(path, content_hash, length, modified, taken) of the tree that was stored last, or None."""
+    return spark.read.parquet(f"{folder}/listing") if exists(spark, f"{folder}/listing") else None
 
 
 def prune(spark: SparkSession, folder: str, most_bytes: int = 256 << 20) -> list[str]:

@@ -4,8 +4,9 @@ import pytest
 
 from lodeweave.operators import health
 from lodeweave.plans import batch
-from lodeweave.plans.check import check
-from lodeweave.sources import discover, extract, store
+from lodeweave.plans.check import assemble_graph, check, stored_graph, surfaces
+from lodeweave.sources import config, discover, extract, store
+from lodeweave.streaming.incremental import can_patch
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +63,25 @@ def test_stored_facts_and_snapshots(spark, project, result, tmp_path, monkeypatc
     score = health.score(result.health)
     assert store.trend(spark, score, str(tmp_path)).first().previous is None
     assert store.trend(spark, score, str(tmp_path)).first().previous == score.first().score
+
+
+def test_a_patched_graph_is_that_of_a_full_run(spark, tmp_path):
+    root, folder = tmp_path / "tree", str(tmp_path / "store")
+    root.mkdir()
+    files = {"package.json": '{"name":"x","main":"m.ts"}', "m.ts": "import {a} from './a';\nexport function m() {\n  return a();\n}\n", "a.ts": "export function a() {\n  return b();\n}\nfunction b() {\n  return 1;\n}\n"}
+    files |= {f"z{i}.ts": f"export const z{i} = {i};" for i in range(40)}
+    for path, text in files.items():
+        (root / path).write_text(text)
+    settings = config.Settings()
+    first = stored_graph(spark, discover.discover_with_stat(spark, str(root), folder), settings, folder)
+    assert store.latest(spark, folder).symbols.count() == first.symbols.count()
+    # lines move and a use goes, but nothing that others depend on
+    (root / "a.ts").write_text("// moved\nexport function a() {\n  return 2;\n}\nfunction b() {\n  return 1;\n}\n")
+    tree = discover.discover_with_stat(spark, str(root), folder)
+    assert can_patch(store.last_surfaces(spark, folder), surfaces(tree, store.facts(spark, tree, folder)))
+    patched = stored_graph(spark, tree, settings, folder)
+    whole = assemble_graph(spark, discover.discover(spark, str(root)), settings)
+    for name in ("edges", "imports", "symbols"):
+        assert sorted(map(str, getattr(patched, name).collect())) == sorted(map(str, getattr(whole, name).select(*getattr(patched, name).columns).collect()))
+    again = stored_graph(spark, discover.discover_with_stat(spark, str(root), folder), settings, folder)
+    assert again.edges.count() == whole.edges.count()
