@@ -1,6 +1,7 @@
-"""Command line: `python -m lodeweave.cli check|health|find|uses|used-by|trace|impact|baseline|doctor ROOT ...`.
+"""Command line: `python -m lodeweave.cli check|health|find|uses|used-by|trace|impact|baseline|doctor|init|plugin ROOT ...`.
 
-Exit codes: check 0 clean, 1 findings at or over --fail-on, 2 it could not run; others 0, 1 nothing found, 2 an error.
+Exit codes: check 0 clean, 1 findings at or over --fail-on (any with --strict) or a budget that is exceeded, 2 it could not
+run; others 0, 1 nothing found, 2 an error. ROOT may be a folder, git:REPOSITORY@TREEISH or staged:REPOSITORY.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from .operators.report import display_order
 from .plans import batch, plugins
 from .plans.check import analyse, assemble_graph, check, check_diff, check_staged, verdict
 from .plans.lineage import cut
-from .sources import config, discover, sinks, store
+from .sources import config, discover, manifests, sinks, store
 
 RANK = {"none": None, "info": 0, "warning": 1, "error": 2}
 
@@ -26,7 +27,7 @@ RANK = {"none": None, "info": 0, "warning": 1, "error": 2}
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="lodeweave")
     sub = out.add_subparsers(dest="verb", required=True)
-    for verb in ("check", "health", "find", "describe", "uses", "used-by", "trace", "impact", "baseline", "doctor", "query", "explain"):
+    for verb in ("check", "health", "find", "describe", "uses", "used-by", "trace", "impact", "baseline", "doctor", "query", "explain", "init", "plugin"):
         p = sub.add_parser(verb)
         p.add_argument("root")
         p.add_argument("arguments", nargs="*")
@@ -52,6 +53,13 @@ def settings_of(a: argparse.Namespace) -> config.Settings:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=sys.stdout) -> int:
     a = parser().parse_args(argv)
+    if a.verb == "init":
+        path = Path(a.root) / a.config
+        if path.exists():
+            print(f"{path} exists", file=sys.stderr)
+            return 2
+        path.write_text(config.TEMPLATE)
+        return 0
     spark = spark or SparkSession.builder.appName("lodeweave").config("spark.ui.enabled", "false").getOrCreate()
     settings = settings_of(a)
     say = lambda *x: print(*x, file=out)
@@ -89,6 +97,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
             rows = [r for r in rows if r["id"] not in known]
             say(sinks.json_report(rows, score) if a.format == "json" else sinks.FORMATS[a.format](rows))
             return int(verdict(left, None, settings, a.strict).first().verdict == "fail")
+        if a.verb == "plugin":
+            tree = discover.discover_source(spark, a.root)
+            rows = manifests.parse(tree).where("kind = 'dependency'").select("package", "name")
+            on = {p.id for p in plugins.active(plugins.BUILTIN, tree.select("path"), rows)}
+            for p in plugins.BUILTIN:
+                say(p.id, "active" if p.id in on else "idle")
+            return 0
         graph = assemble_graph(spark, discover.discover(spark, a.root), settings)
         if a.verb == "doctor":
             say(json.dumps({"files": graph.files.groupBy("language").count().toPandas().to_dict("records"), "symbols": graph.symbols.groupBy("language", "kind").count().toPandas().to_dict("records"), "plugins": [p.id for p in plugins.active(plugins.BUILTIN, graph.files.select("path"), graph.declared)], "stored": None if not a.store else store.latest(spark, a.store) is not None, "problems": [r.asDict() for r in graph.diagnostics.collect()]}))

@@ -43,7 +43,9 @@ def answer(result: Result, request: dict) -> dict:
             if request.get("color"):
                 rows = rows.join(result.colors.where(F.col("color") == request["color"]).select("node"), "node", "left_semi")
             got = navigate.find(rows, request["text"], ["name", "label"], "node", limit).collect()
-            return {"request": request, "rows": [{"node": r.node, "rank": r.rank} for r in got], "elided": (got[0].n_matches if got else 0) - len(got)}
+            every = navigate.find(rows, request["text"], ["name", "label"], "node", 1 << 30).select("node").join(rows, "node")
+            counts = {key: {r[0] or "": r[1] for r in every.groupBy(key).count().collect()} for key in ("kind", "language")}  # a row for each kind and language
+            return {"request": request, "rows": [{"node": r.node, "rank": r.rank} for r in got], "elided": (got[0].n_matches if got else 0) - len(got), "counts": counts}
         ids = [navigate.resolve(navigate.parse_selector(s), g.files, g.symbols) for s in request["selectors"]]
         if not all(ids):
             return {"request": request, "error": "not found", "rows": []}

@@ -860,6 +860,26 @@ def incremental_refresh(spark, sf_dir):
     return graph.colors(all_nodes(spark, sf_dir), graph.widest_paths(kept, P.part_roots(spark, sf_dir))).select("node", "color", "confidence")
 
 
+_SUPPLY = f"""edges AS (
+  SELECT a.l_partkey || '/' || a.l_suppkey AS src, b.l_partkey || '/' || b.l_suppkey AS dst, CAST(max({P.FLAG.format("b.l_returnflag")}) AS INTEGER) AS confidence
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 GROUP BY 1, 2
+), roots AS (
+  SELECT DISTINCT CASE l_partkey % 400 WHEN 0 THEN 'production' WHEN 1 THEN 'test' ELSE 'tooling' END AS kind, l_partkey || '/' || l_suppkey AS node, CAST(l_suppkey % 3 AS INTEGER) AS confidence FROM lineitem WHERE l_partkey % 400 < 3
+), nodes AS (SELECT DISTINCT l_partkey || '/' || l_suppkey AS node FROM lineitem)"""
+
+
+@query(f"WITH RECURSIVE {_SUPPLY}, " + _REACH.format(edges="edges", nodes="nodes") + " SELECT * FROM colors")
+def reach_supply_graph(spark, sf_dir):
+    """Colours of a graph as large as the lines: parts by supplier, joined by all consecutive lines of an order."""
+    line = P.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat_ws("/", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("node"), P.flag_confidence("l_returnflag").alias("c"))
+    line = cut(line)
+    a = line.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("node").alias("src"))
+    edges = a.join(line.select("l_orderkey", "l_linenumber", F.col("node").alias("dst"), F.col("c").alias("confidence")), ["l_orderkey", "l_linenumber"]).select("src", "dst", "confidence")
+    k = F.col("l_partkey") % 400
+    roots = line.where(k < 3).select(F.when(k == 0, "production").when(k == 1, "test").otherwise("tooling").alias("kind"), "node", (F.col("l_suppkey") % 3).cast("int").alias("confidence")).distinct()
+    return graph.colors(line.select("node"), graph.widest_paths(edges, roots))
+
+
 _KINDS = ["function", "file", "dependency", "class", "method", "directory", "variable"]
 _AXIS_SQL = {
     "unused-symbols": ("category = 'unused' AND code", "symbol"), "unused-files": ("category = 'unused' AND subject_kind = 'file'", "file"),

@@ -510,12 +510,11 @@ def provenance_of(g: Graph, findings: DataFrame) -> DataFrame:
 
 
 def check(spark: SparkSession, root: str, settings: Settings | None = None, tree: DataFrame | None = None, stored: str | None = None, known_plugins: list[plugins.Plugin] | None = None) -> Result:
-    """All findings of the tree below `root` (or of a given one), after pragmas and filters, and its health axes.
+    """All findings of the tree that `root` names (see discover_source; or of a given one), after pragmas and filters, and its health axes.
 
     stored: a folder of facts and snapshots, which unchanged files and trees are taken from."""
     settings = settings or Settings()
-    if tree is None:
-        tree = discover.discover(spark, root) if stored is None else discover.discover_with_stat(spark, root, stored)
+    tree = discover.discover_source(spark, root, stored) if tree is None else tree
     g = stored_graph(spark, tree, settings, stored, known_plugins) if stored else assemble_graph(spark, tree, settings, known_plugins=known_plugins)
     found, colors, _ = analyse(g, settings)
     kept = cut(report.report_filter(suppressed(g, found), settings.only or None, settings.skip or None, settings.min_confidence).where("fate = 'shown'").drop("fate"))
@@ -541,7 +540,7 @@ def verdict(findings: DataFrame, deltas: DataFrame | None, settings: Settings, s
 def check_diff(spark: SparkSession, repository: str, before: str, after: DataFrame | None = None, settings: Settings | None = None) -> DataFrame:
     """(id, delta, origin) between a commit and the working tree (or another tree)."""
     tree = discover.discover(spark, repository) if after is None else after
-    base = discover.discover_git(spark, repository, before)
+    base = discover.discover_git(spark, repository, discover.merge_base(repository, before))
     a, b = check(spark, repository, settings, tree), check(spark, repository, settings, base)
     touched = report.touched_paths(base, tree)
     both = b.findings.select("id", "category", "severity").union(a.findings.select("id", "category", "severity")).distinct()
@@ -550,7 +549,7 @@ def check_diff(spark: SparkSession, repository: str, before: str, after: DataFra
 
 def check_staged(spark: SparkSession, repository: str, settings: Settings | None = None) -> DataFrame:
     """check_diff() between the last commit and what is staged, whatever lies in the working tree."""
-    return check_diff(spark, repository, "HEAD", discover.discover_git(spark, repository, discover.write_tree(repository)), settings)
+    return check_diff(spark, repository, "HEAD", discover.discover_source(spark, f"staged:{repository}"), settings)
 
 
 def envelope(result: Result, limit: int | None = None) -> str:

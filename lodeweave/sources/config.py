@@ -11,6 +11,24 @@ from ..schema import CATEGORIES, CONFIDENCE
 #: Fewest tokens of a duplicate function that may be asked for.
 LEAST_TOKENS = 50
 
+#: What `init` writes.
+TEMPLATE = """[analysis]
+skip = []
+min-confidence = "possible"
+
+[analysis.duplicate]
+min-tokens = 50
+
+[analysis.crap]
+threshold = 30.0
+
+[plugins]
+max-age = "7d"
+
+[delta]
+# unused = 0
+"""
+
 
 @dataclass
 class Settings:

@@ -146,6 +146,17 @@ def discover_git(spark: SparkSession, repository: str, treeish: str, prefix: str
     return rows.select("path", F.sha2("content", 256).alias("content_hash"), "length", F.lit(None).cast("timestamp").alias("modified"), "content")
 
 
+def discover_source(spark: SparkSession, source: str, stored: str | None = None) -> DataFrame:
+    """The files of any source: `git:REPOSITORY@TREEISH`, `staged:REPOSITORY`, or a folder on any store."""
+    kind, _, rest = source.partition(":")
+    if kind == "git":
+        repository, _, treeish = rest.rpartition("@")
+        return discover_git(spark, repository, treeish)
+    if kind == "staged":
+        return discover_git(spark, rest, write_tree(rest))
+    return discover(spark, source) if stored is None else discover_with_stat(spark, source, stored)
+
+
 def named(files: DataFrame, names: list[str]) -> DataFrame:
     return files.where(F.regexp_extract("path", r"([^/]*)$", 1).isin(*names))
 

@@ -83,3 +83,15 @@ def test_types_texts_and_gates_of_sources():
     assert {("A", "foo", "Foo"), ("A", "get", "Foo"), (None, "b", "Bar")} <= {(t["owner"], t["name"], t["type"]) for t in java.types}
     go = facts("a.go", "package m\ntype T struct {\n s Store\n}\nfunc f() {\n x := Store{}\n}")
     assert {(t["name"], t["type"]) for t in go.types} >= {("s", "Store"), ("x", "Store")}
+
+
+def test_init_and_plugin_verbs(spark, tmp_path):
+    import io
+
+    from lodeweave import cli
+
+    assert cli.main(["init", str(tmp_path)]) == 0 and cli.main(["init", str(tmp_path)]) == 2
+    assert config.parse((tmp_path / "lodeweave.toml").read_text()).problems == []
+    (tmp_path / "package.json").write_text('{"name":"x","dependencies":{"express":"4"}}')
+    out = io.StringIO()
+    assert cli.main(["plugin", str(tmp_path)], spark, out) == 0 and "express active" in out.getvalue() and "serde idle" in out.getvalue()
