@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, dirname
 from ..plans.lineage import cut
-from ..schema import CERTAIN, FILE, PACKAGE, POSSIBLE, PROBABLE, PUBLIC, UNIT
+from ..schema import CERTAIN, FILE, MODULE, PACKAGE, POSSIBLE, PROBABLE, PUBLIC, UNIT
 
 
 def longest_prefix(rows: DataFrame, path: str, dirs: DataFrame, default: str | None = None) -> DataFrame:
@@ -156,15 +156,21 @@ def ranked_resolution(tiers: list[tuple[str, DataFrame]]) -> DataFrame:
     return union.join(best, "ref").where("rank = first").select("ref", "target", "tier").distinct()
 
 
-def duck_typed(refs: DataFrame, members: DataFrame) -> DataFrame:
+def duck_typed(refs: DataFrame, members: DataFrame, ancestry: DataFrame | None = None) -> DataFrame:
     """(ref, target, confidence): members of a bare name in the same language that are visible from the site.
 
     refs: (ref, name, language, path, unit, package); members: (sym, name, language, path, unit, package, scope). One
-    candidate is probable; several are possible.
+    candidate is probable; several are possible. ancestry: (unit, ancestor), for members that a module and all modules
+    inside it see.
     """
     m = members.select("sym", "name", "language", "scope", *[F.col(c).alias(f"m_{c}") for c in ("path", "unit", "package")])
+    met, inside = refs.join(m, ["name", "language"]), F.lit(False)
+    if ancestry is not None:
+        above = ancestry.select(F.col("unit").alias("site_unit"), F.col("ancestor").alias("holder_unit"), F.lit(True).alias("inside")).distinct()
+        met = met.join(above, (F.col("unit") == F.col("site_unit")) & (F.col("m_unit") == F.col("holder_unit")), "left")
+        inside = (F.col("scope") == MODULE) & F.coalesce("inside", F.lit(False))
     seen = scope_contains(F.col("scope"), F.col("m_path") == F.col("path"), F.col("m_unit") == F.col("unit"), F.col("m_package") == F.col("package"))
-    met = refs.join(m, ["name", "language"]).where(seen)
+    met = met.where(seen | inside)
     many = F.count("*").over(Window.partitionBy("ref"))
     return met.select("ref", F.col("sym").alias("target"), F.when(many == 1, PROBABLE).otherwise(POSSIBLE).alias("confidence"))
 

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fingerprints import finding_id, grams, winnow
-from ..functions.paths import dirname, extension, origin, role
+from ..functions.paths import ancestors, dirname, extension, origin, role
 from ..operators import analyses, assemble, coverage, graph, health, report
-from ..schema import CERTAIN, POSSIBLE, PROBABLE, SEVERITY
+from ..schema import CERTAIN, POSSIBLE, PROBABLE, PUBLIC, SEVERITY
 from ..sources import coverage_formats, discover, extract, manifests
 from ..sources.config import Settings
 from ..streaming.incremental import can_patch, replace_owned
@@ -146,8 +146,11 @@ def assemble_graph(spark: SparkSession, tree: DataFrame, settings: Settings | No
     within = assemble.within_owner(bare.select(F.col("ref").alias("site"), "path", "name", "line"), twins).select(F.col("site").alias("ref"), F.col("sym").alias("target"))
     chained = chained_uses(facts, refs, symbols)
     same_unit = bare.where("language in ('go', 'java', 'kotlin', 'swift')").join(own.where("member_of is null"), (F.col("unit") == F.col("u")) & (F.col("language") == F.col("lang")) & (F.col("name") == F.col("n"))).select("ref", F.col("sym").alias("target"))
-    members = symbols.where("member_of is not null").select("sym", "name", "language", "path", "unit", "package", F.when(F.col("visibility") == 0, 0).when(F.col("visibility") == 1, 1).otherwise(4).alias("scope"))
-    duck = cut(assemble.duck_typed(refs.where("qualifier is not null").select("ref", "name", "language", "path", "unit", "package"), members))
+    rungs = F.broadcast(ladder(spark).select("language", F.col("idx").alias("visibility"), "scope"))  # a few rows per language
+    members = symbols.where("member_of is not null").join(rungs, ["language", "visibility"], "left").select("sym", "name", "language", "path", "unit", "package", F.coalesce("scope", F.lit(PUBLIC)).alias("scope"))
+    units = files.where("unit <> ''").select("unit").distinct().select("unit", F.explode(F.concat(F.array("unit"), ancestors(F.col("unit")))).alias("u")).where("u <> ''").select(F.col("u").alias("unit")).distinct()
+    ancestry = assemble.unit_ancestry(units.select("unit", F.nullif(dirname(F.col("unit")), F.lit("")).alias("parent")))
+    duck = cut(assemble.duck_typed(refs.where("qualifier is not null").select("ref", "name", "language", "path", "unit", "package"), members, ancestry))
     ranked = assemble.ranked_resolution([("qualifier", by_qualifier), ("chain", chained), ("owner", within), ("same-file", same_file), ("import", by_import), ("unit", same_unit), ("duck", duck.select("ref", "target"))])
     sure = duck.select("ref", "target", F.col("confidence").alias("duck"))
     resolved = ranked.join(sure, ["ref", "target"], "left").join(refs, "ref")

@@ -95,3 +95,11 @@ def test_init_and_plugin_verbs(spark, tmp_path):
     (tmp_path / "package.json").write_text('{"name":"x","dependencies":{"express":"4"}}')
     out = io.StringIO()
     assert cli.main(["plugin", str(tmp_path)], spark, out) == 0 and "express active" in out.getvalue() and "serde idle" in out.getvalue()
+
+
+def test_members_of_a_module_are_seen_inside_it(spark):
+    refs = spark.createDataFrame([(1, "go", "rust", "src/a/b/x.rs", "src/a/b", "p"), (2, "go", "rust", "src/c.rs", "src", "p")], "ref int, name string, language string, path string, unit string, package string")
+    members = spark.createDataFrame([("m", "go", "rust", "src/a/y.rs", "src/a", "p", 2)], "sym string, name string, language string, path string, unit string, package string, scope int")
+    units = spark.createDataFrame([("src/a/b", "src/a"), ("src/a", "src"), ("src", None)], "unit string, parent string")
+    assert assemble.duck_typed(refs, members).count() == 0
+    assert [(r.ref, r.target, r.confidence) for r in assemble.duck_typed(refs, members, assemble.unit_ancestry(units)).collect()] == [(1, "m", 1)]
