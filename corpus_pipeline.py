@@ -21,7 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of equal or nearly equal texts (five words, 0.8)."""
+    """One document, that of the least id, of each group linked by SimHash fingerprints (as op9_simhash) or by similarity
+    (five words, 0.8)."""
     return simhash.keep_one(docs)
 
 

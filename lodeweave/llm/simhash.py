@@ -140,9 +140,9 @@ def parity_map(hashes: np.ndarray) -> bytes:
     return np.packbits(np.bincount(at, minlength=bits) & 1).tobytes()
 
 
-def _sketch(rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(rid, digest, size, keys, map): keys are the prefix of the distinct shingles, the rarest first; digest is that of the
-    whole text, or of the empty one where there is no word."""
+def _sketch(rows: DataFrame, width: int, similarity: float, print_width: int | None) -> DataFrame:
+    """(rid, digest, size, keys, map, print): keys are the prefix of the distinct shingles, the rarest first; digest is that of
+    the whole text, or of the empty one where there is no word; print is the fingerprint (zero without a print_width)."""
     common = _common_shingles(rows, width)
     order = np.argsort(common)
     known = rows.sparkSession.sparkContext.broadcast((common[order], order + 1))
@@ -150,7 +150,7 @@ def _sketch(rows: DataFrame, width: int, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, ranks = known.value
         for batch in batches:
-            digests, sizes, keys, maps = [], [], [], []
+            digests, sizes, keys, maps, prints = [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 h = np.unique(shingle_hashes(t, width))
                 rank = np.zeros(len(h), dtype=np.int64)
@@ -162,9 +162,10 @@ def _sketch(rows: DataFrame, width: int, similarity: float) -> DataFrame:
                 sizes.append(len(h))
                 keys.append(h[first].view(np.int64))
                 maps.append(parity_map(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.binary())], ["rid", "digest", "size", "keys", "map"])
+                prints.append(signed(fingerprint(shingle_hashes(t, print_width))) if print_width else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.binary()), pa.array(prints, pa.int64())], ["rid", "digest", "size", "keys", "map", "print"])
 
-    return rows.mapInArrow(run, "rid bigint, digest binary, size int, keys array<bigint>, map binary")
+    return rows.mapInArrow(run, "rid bigint, digest binary, size int, keys array<bigint>, map binary, print bigint")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -249,11 +250,21 @@ def _crowded_rest(crowd: DataFrame, least: DataFrame, roots: DataFrame, similari
     return mapped.groupBy("key", "lo", "hi").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, rid: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def _printed(least: DataFrame) -> DataFrame:
+    """(u, v) links between texts whose fingerprints are equal or within two bits: through the first text of each fingerprint."""
+    prints = cut(least.groupBy("print").agg(F.min("least").alias("first")))
+    of = lambda c, first: prints.select(F.col("print").alias(c), F.col("first").alias(first))
+    close = links(prints.select("print")).join(of("u", "a"), "u").join(of("v", "b"), "v").select("a", "b")
+    equal = least.join(prints, "print").select(F.col("least").alias("a"), F.col("first").alias("b"))
+    return cut(close.union(equal).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+
+
+def near_duplicates(docs: DataFrame, rid: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, print_width: int | None = None) -> DataFrame:
     """(rid, group) of every row that belongs to a group of two or more; group is the least rid in it.
 
     Groups are the components of links between equal texts and between texts whose sets of `width`-word shingles have a
-    Jaccard similarity of `similarity` or more. Texts collapse to one representative each first. Candidates share a key:
+    Jaccard similarity of `similarity` or more; with a `print_width` also between all texts whose SimHash fingerprints of
+    so many words are within two bits, found by links(). Texts collapse to one representative each first. Candidates share a key:
     the keys of a set of n shingles are its n - ceil(similarity * n) + 1 rarest in one order of all shingles, so two sets
     at `similarity` have one in common. Every candidate is verified on the whole shingle sets (64-bit hashes). In a
     bucket of more than CROWD texts each is compared with up to four pivots first; then the texts of a bucket that are
@@ -263,9 +274,9 @@ def near_duplicates(docs: DataFrame, rid: str = "doc_id", text: str = "text", wi
     small_batches(docs.sparkSession)
     rows = docs.where(F.col(rid).isNotNull()).select(F.col(rid).cast("bigint").alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # only sketches are dealt out; texts are equal if their 128-bit digests are
-    sketched = cut(_sketch(rows, width, similarity))
+    sketched = cut(_sketch(rows, width, similarity, print_width))
     same = sketched.select("rid", "digest")
-    least = cut(sketched.groupBy("digest").agg(F.min("rid").alias("least"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in ("size", "keys", "map")]))
+    least = cut(sketched.groupBy("digest").agg(F.min("rid").alias("least"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in ("size", "keys", "map", "print")]))
     keyed = least.select(F.col("least").alias("rid"), "size", F.posexplode("keys").alias("pos", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = cut(keyed.join(shared, "key"))
@@ -283,6 +294,7 @@ def near_duplicates(docs: DataFrame, rid: str = "doc_id", text: str = "text", wi
     stars = facing.select("rid", "size", F.explode("pivots").alias("p")).where(alike).select(F.least("rid", "p.rid").alias("a"), F.greatest("rid", "p.rid").alias("b"))
     candidates = cut(_by_maps(pairs.union(stars).where(F.col("a") < F.col("b")).distinct(), least, similarity).distinct())
     verified = _verified(rows, candidates, width, similarity)
+    verified = verified.union(_printed(least)) if print_width else verified
     roots = connected_components(verified)
     if not crowd.isEmpty():
         rest = cut(_crowded_rest(crowd, least, roots, similarity).join(candidates, ["a", "b"], "left_anti"))
@@ -295,9 +307,10 @@ def near_duplicates(docs: DataFrame, rid: str = "doc_id", text: str = "text", wi
     return same.join(grouped.select("digest", "group"), "digest").select("rid", "group")
 
 
-def keep_one(docs: DataFrame, rid: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows without those that near_duplicates() groups under another row; the row of least rid in a group stays."""
-    dropped = cut(near_duplicates(docs, rid, text).where("rid <> group").select(F.col("rid").alias("_dropped")).distinct())
+def keep_one(docs: DataFrame, rid: str = "doc_id", text: str = "text", print_width: int = 3) -> DataFrame:
+    """The rows without those that near_duplicates(), by fingerprints and by similarity, groups under another row; the row of
+    least rid in a group stays."""
+    dropped = cut(near_duplicates(docs, rid, text, print_width=print_width).where("rid <> group").select(F.col("rid").alias("_dropped")).distinct())
     dropped = F.broadcast(dropped) if dropped.count() <= MOST_IDS else dropped
     return docs.join(dropped, docs[rid] == dropped["_dropped"], "left_anti")
 

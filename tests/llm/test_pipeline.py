@@ -31,3 +31,21 @@ def test_stages_and_run(spark, tmp_path):
 
 def test_empty(spark, empty_folder):
     assert corpus_pipeline.run(spark, empty_folder).count() == 0
+
+
+def test_near_dedup_links_by_fingerprints_and_by_similarity(spark):
+    block, rows = words(80, 61).split(), []
+    for g in range(3):  # long repeats and own ends: fingerprints are alike, sets of shingles are not
+        own, ends = [f"{w}{g}" for w in block], [words(81 + 10 * g + k, 40) for k in range(2)]
+        rows += [f"{' '.join(own * 40)} {ends[0]}", f"{' '.join(own * 40)} {ends[1]}", f"{' '.join([*own[:30], 'zz', *own[31:]] * 40)} {ends[1]}"]
+    rows += [words(200 + i, 90) for i in range(6)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 9) for i, t in enumerate(rows)], SCHEMA)
+    prints = [simhash.fingerprint(simhash.shingle_hashes(t, 3)) for t in rows]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in rows]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    for i in (0, 3, 6):
+        assert (prints[i] ^ prints[i + 1]).bit_count() <= 2 and alike(i, i + 1) < 0.8
+        # the third is tied to the first by the second only
+        assert alike(i + 1, i + 2) >= 0.8 > alike(i, i + 2) and min((prints[i + 2] ^ prints[j]).bit_count() for j in (i, i + 1)) > 2
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == [0, 3, 6, *range(9, 15)]
