@@ -120,3 +120,28 @@ def test_navigation(spark):
     rows = spark.createDataFrame([(1, "ab"), (2, "abc"), (3, "xab"), (4, "q")], "k int, n string")
     assert [(r.k, r.rank, r.n_matches) for r in navigate.find(rows, "ab", ["n"], "k", 2).collect()] == [(1, 0, 3), (2, 1, 3)]
     assert F is not None
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of all checkpoints, as they are written."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    out, write = [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda df, *a: (out.append(df._jdf.queryExecution().executedPlan().toString()), write(df, *a))[1])
+    return out
+
+
+def test_a_long_ring_takes_few_rounds(spark, plans):
+    ring = spark.createDataFrame([(f"n{i:03}", f"n{(i + 1) % 150:03}", 2) for i in range(150)] + [("n000", "z", 2), ("y", "n000", 2)], EDGE)
+    got = graph.strong_components(ring, most_edges=-1).collect()
+    assert len(got) == 150 and {r.component for r in got} == {"n000"}
+    assert len(plans) < 20
+
+
+def test_rounds_move_what_improves_and_broadcast_nothing(spark, plans):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 2) for i in range(12)], EDGE)
+    got = graph.reach(edges, spark.createDataFrame([("n0",)], "node string"), most_edges=-1)
+    assert {(r.node, r.depth) for r in got.collect()} == {(f"n{i}", i) for i in range(13)}
+    rounds = [p for p in plans if "LeftAnti" in p]
+    assert rounds and not any("Broadcast" in p or "ENSURE_REQUIREMENTS" in p for p in rounds)
