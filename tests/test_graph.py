@@ -145,3 +145,19 @@ def test_rounds_move_what_improves_and_broadcast_nothing(spark, plans):
     assert {(r.node, r.depth) for r in got.collect()} == {(f"n{i}", i) for i in range(13)}
     rounds = [p for p in plans if "LeftAnti" in p]
     assert rounds and not any("Broadcast" in p or "ENSURE_REQUIREMENTS" in p for p in rounds)
+
+
+def test_all_paths_are_those_of_its_sql(spark, tmp_path):
+    """The SQL counts paths of at most six nodes; here the shortest has five, and two nodes more would be seven."""
+    from lodeweave.plans import catalogue
+
+    strong = [(0, 1), (1, 2), (2, 3), (3, 9), (2, 6), (6, 3), (2, 4), (4, 5), (5, 3)]
+    lines = [p for p in strong for _ in range(10)] + [(b, a) for a, b in strong]
+    tables = {
+        "lineitem": ([(i, s) for i, (s, _) in enumerate(lines)], "l_orderkey long, l_suppkey long"), "orders": ([(i, c) for i, (_, c) in enumerate(lines)], "o_orderkey long, o_custkey long"),
+        "customer": ([(i, i) for i in range(10)], "c_custkey long, c_nationkey int"), "supplier": ([(i, i) for i in range(10)], "s_suppkey long, s_nationkey int"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.path for r in catalogue.QUERIES["trace_all_paths"](spark, str(tmp_path)).collect()}
+    assert got == {"n:0 > n:1 > n:2 > n:3 > n:9", "n:0 > n:1 > n:2 > n:6 > n:3 > n:9"}
