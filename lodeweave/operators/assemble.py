@@ -159,20 +159,27 @@ def ranked_resolution(tiers: list[tuple[str, DataFrame]]) -> DataFrame:
 def duck_typed(refs: DataFrame, members: DataFrame, ancestry: DataFrame | None = None) -> DataFrame:
     """(ref, target, confidence): members of a bare name in the same language that are visible from the site.
 
-    refs: (ref, name, language, path, unit, package); members: (sym, name, language, path, unit, package, scope). One
-    candidate is probable; several are possible. ancestry: (unit, ancestor), for members that a module and all modules
-    inside it see.
+    refs: (ref, name, language, path, unit, package), a row for each ref; members: (sym, name, language, path, unit, package,
+    scope). One candidate is probable; several are possible. ancestry: (unit, ancestor), for members that a module and all
+    modules inside it see. Candidates are counted by site first, so the pairs, which are as many as the rows that come out,
+    are not moved again.
     """
-    m = members.select("sym", "name", "language", "scope", *[F.col(c).alias(f"m_{c}") for c in ("path", "unit", "package")])
-    met, inside = refs.join(m, ["name", "language"]), F.lit(False)
-    if ancestry is not None:
-        above = ancestry.select(F.col("unit").alias("site_unit"), F.col("ancestor").alias("holder_unit"), F.lit(True).alias("inside")).distinct()
-        met = met.join(above, (F.col("unit") == F.col("site_unit")) & (F.col("m_unit") == F.col("holder_unit")), "left")
-        inside = (F.col("scope") == MODULE) & F.coalesce("inside", F.lit(False))
-    seen = scope_contains(F.col("scope"), F.col("m_path") == F.col("path"), F.col("m_unit") == F.col("unit"), F.col("m_package") == F.col("package"))
-    met = met.where(seen | inside)
-    many = F.count("*").over(Window.partitionBy("ref"))
-    return met.select("ref", F.col("sym").alias("target"), F.when(many == 1, PROBABLE).otherwise(POSSIBLE).alias("confidence"))
+    m = members.select("sym", "name", "language", "scope", *[F.col(c).alias(f"m_{c}") for c in ("path", "unit", "package")]).hint("shuffle_hash")
+    above = None if ancestry is None else ancestry.select(F.col("unit").alias("site_unit"), F.col("ancestor").alias("holder_unit"), F.lit(True).alias("inside")).distinct()
+
+    def visible(sites: DataFrame) -> DataFrame:
+        met, inside = sites.join(m, ["name", "language"]), F.lit(False)
+        if above is not None:
+            met = met.join(above, (F.col("unit") == F.col("site_unit")) & (F.col("m_unit") == F.col("holder_unit")), "left")
+            inside = (F.col("scope") == MODULE) & F.coalesce("inside", F.lit(False))
+        seen = scope_contains(F.col("scope"), F.col("m_path") == F.col("path"), F.col("m_unit") == F.col("unit"), F.col("m_package") == F.col("package"))
+        return met.where(seen | inside)
+
+    at = ["name", "language", "path", "unit", "package"]
+    counted = visible(refs.select(*at).distinct()).groupBy(*at).agg(F.count("*").alias("many")).toDF(*[f"c_{c}" for c in at], "many")
+    same = [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in at]
+    told = refs.join(counted.hint("shuffle_hash"), same).select("ref", *at, "many")
+    return visible(told).select("ref", F.col("sym").alias("target"), F.when(F.col("many") == 1, PROBABLE).otherwise(POSSIBLE).alias("confidence"))
 
 
 def scope_contains(scope: Column, same_file: Column, same_unit: Column, same_package: Column) -> Column:
