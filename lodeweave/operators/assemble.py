@@ -198,17 +198,24 @@ def required_scope(same_file: Column, same_unit: Column, same_package: Column) -
     return F.when(same_file, FILE).when(F.coalesce(same_unit, F.lit(False)), UNIT).when(same_package, PACKAGE).otherwise(PUBLIC)
 
 
-def unit_ancestry(units: DataFrame, most: int = 64) -> DataFrame:
-    """(unit, ancestor): each unit with itself and all units above it. units: (unit, parent)."""
+def unit_ancestry(units: DataFrame) -> DataFrame:
+    """(unit, ancestor): each unit with itself and all units above it. units: (unit, parent).
+
+    The ways up are doubled each round, so the rounds grow with the logarithm of the depth.
+    """
     seen = cut(units.select("unit", F.col("unit").alias("ancestor")).distinct())
-    frontier, up = seen, units.select(F.col("unit").alias("ancestor"), F.col("parent").alias("above")).where("above is not null").distinct()
-    for _ in range(most):
-        step = frontier.join(up, "ancestor").select("unit", F.col("above").alias("ancestor"))
-        frontier = cut(step.join(seen, ["unit", "ancestor"], "left_anti").distinct())
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
+    jump = cut(units.where("parent is not null").select("unit", F.col("parent").alias("above")).distinct())
+    n = seen.count()
+    while True:
+        # those less than 2^k steps up, and the same above each unit 2^k steps up; broadcasts would pass through the driver
+        lower = seen.select(F.col("unit").alias("above"), "ancestor")
+        beyond = jump.join(lower.hint("merge"), "above", "left").select("unit", F.coalesce("ancestor", "above").alias("ancestor"))
+        seen, before = cut(seen.union(beyond).distinct()), n
+        n = seen.count()
+        if n == before:
+            return seen
+        higher = jump.select(F.col("unit").alias("above"), F.col("above").alias("top"))
+        jump = cut(jump.join(higher.hint("merge"), "above").select("unit", F.col("top").alias("above")).distinct())
 
 
 def within_owner(sites: DataFrame, twins: DataFrame) -> DataFrame:

@@ -103,3 +103,22 @@ def test_members_of_a_module_are_seen_inside_it(spark):
     units = spark.createDataFrame([("src/a/b", "src/a"), ("src/a", "src"), ("src", None)], "unit string, parent string")
     assert assemble.duck_typed(refs, members).count() == 0
     assert [(r.ref, r.target, r.confidence) for r in assemble.duck_typed(refs, members, assemble.unit_ancestry(units)).collect()] == [(1, "m", 1)]
+
+
+def test_pairs_of_duck_typing_are_not_moved_again(spark):
+    at = "name string, language string, path string, unit string, package string"
+    refs = spark.createDataFrame([(1, "go", "js", "a.js", None, "p"), (2, "go", "js", "a.js", None, "p"), (3, "go", "js", "b.js", "u", "q"), (4, "no", "js", "b.js", "u", "q")], f"ref int, {at}")
+    members = spark.createDataFrame([("m", "go", "js", "a.js", None, "p", 0), ("n", "go", "js", "c.js", "u", "p", 4), ("o", "go", "js", "d.js", "u", "q", 1)], f"sym string, {at}, scope int")
+    out = assemble.duck_typed(refs, members)
+    assert {tuple(r) for r in out.collect()} == {(1, "m", 0), (1, "n", 0), (2, "m", 0), (2, "n", 0), (3, "n", 0), (3, "o", 0)}
+    assert {tuple(r) for r in assemble.duck_typed(refs.where("ref = 1"), members.where("sym = 'm'")).collect()} == {(1, "m", 1)}
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ancestry_takes_few_rounds_and_goes_all_the_way_up(spark, monkeypatch):
+    calls, write = [], assemble.cut
+    monkeypatch.setattr(assemble, "cut", lambda df: (calls.append(1), write(df))[1])
+    units = spark.createDataFrame([(f"u{i}", f"u{i + 1}") for i in range(70)] + [("x", "y"), ("y", "x")], "unit string, parent string")
+    got = {tuple(r) for r in assemble.unit_ancestry(units).collect()}
+    want = {(f"u{i}", f"u{j}") for i in range(70) for j in range(i, 71)} | {(a, b) for a in "xy" for b in "xy"}
+    assert got == want and len(calls) < 20
