@@ -161,3 +161,24 @@ def test_all_paths_are_those_of_its_sql(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     got = {r.path for r in catalogue.QUERIES["trace_all_paths"](spark, str(tmp_path)).collect()}
     assert got == {"n:0 > n:1 > n:2 > n:3 > n:9", "n:0 > n:1 > n:2 > n:6 > n:3 > n:9"}
+
+
+def test_shortest_cycles_up_to_a_length_broadcast_nothing(spark, plans):
+    from lodeweave.operators import analyses
+
+    edges = spark.createDataFrame([(f"n{i:02}", f"n{(i + 1) % 13:02}") for i in range(13)] + [("x", "y"), ("y", "x")], "src string, dst string")
+    groups = spark.createDataFrame([("n00",), ("x",)], "anchor string")
+    members = spark.createDataFrame([(f"n{i:02}", "n00") for i in range(13)] + [("x", "x"), ("y", "x")], "node string, component string")
+    assert {r.anchor: len(r.cycle) for r in analyses.shortest_cycles(edges, groups, members).collect()} == {"n00": 14, "x": 3}
+    assert {r.anchor: len(r.cycle) for r in analyses.shortest_cycles(edges, groups, members, longest=12).collect()} == {"x": 3}
+    assert not any("Broadcast" in p for p in plans)
+
+
+def test_colours_of_many_nodes_are_dealt_by_their_number(spark, monkeypatch):
+    from lodeweave.plans import lineage
+
+    monkeypatch.setattr(lineage, "ROWS_A_PART", 10)
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(100)], "node string")
+    widest = spark.createDataFrame([("test", "n7", 1)], "kind string, node string, confidence int")
+    plan = graph.colors(nodes, widest)._jdf.queryExecution().executedPlan().toString()
+    assert "node" in plan and ", 10), REPARTITION_BY_NUM" in plan and "Broadcast" not in plan
