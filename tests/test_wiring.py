@@ -122,3 +122,15 @@ def test_ancestry_takes_few_rounds_and_goes_all_the_way_up(spark, monkeypatch):
     got = {tuple(r) for r in assemble.unit_ancestry(units).collect()}
     want = {(f"u{i}", f"u{j}") for i in range(70) for j in range(i, 71)} | {(a, b) for a in "xy" for b in "xy"}
     assert got == want and len(calls) < 20
+
+
+def test_texts_are_fingerprinted_in_one_pass_as_by_columns(spark):
+    from lodeweave.functions import fingerprints as fp
+
+    words = [f"w{i * i % 37}é" for i in range(90)]
+    texts = [" ".join(words), "\t\n ".join(words[:57]) + " ", " ".join(words[:50]), " ".join(words[:49]), "", None, "a b c " * 60, "x " * 400]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    tokens = rows.select("id", F.filter(F.split("text", r"[ \t-\r]+"), lambda t: t != "").alias("t")).where(F.size("t") >= fp.FLOOR)
+    want = {(r.id, r.n, tuple(r.f)) for r in tokens.select("id", F.size("t").alias("n"), fp.winnow(fp.grams(F.col("t"))).alias("f")).collect()}
+    got = fp.fingerprinted(rows, "text", ["id"])
+    assert len(want) == 5 and {(r.id, r.n_tokens, tuple(r.fingerprints)) for r in got.collect()} == want
